@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_labeller, langid, media, mixing, token_counts, token_files
+from . import bpe, html_labeller, langid, media, minhash, mixing, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -34,6 +34,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings that smaller ones have."""
+    return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every document as a video file and read it back."""
     return media.media_digest(table(spark, sf_dir, "documents"))
@@ -44,14 +49,21 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
     "op4_html": op4_html,
     "op5_token_files": op5_token_files,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_media": op7_media,
     "op8_language": op8_language,
+    "op9_minhash": op9_minhash,
 }
 
 ORACLES: dict[str, str] = {
