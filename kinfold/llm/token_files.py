@@ -1,8 +1,8 @@
 """Token-ID / binary output (operator 5): Arrow stream files of fixed-size-list batches.
 
 Documents are range-partitioned by id. Each partition is one shard: an Arrow IPC stream whose record batches hold two
-columns, `ids` fixed_size_list<uint32>[SEQ] and `mask` fixed_size_list<uint8>[SEQ], packed without gaps; only a
-shard's last sequence is padded (mask 0). As every value has a fixed width, the n-th id of a shard lies in batch
+columns, `ids` fixed_size_list<uint16>[SEQ] (uint32 for vocabularies over 65,536 ids) and `mask`
+fixed_size_list<bool>[SEQ], packed without gaps; only a shard's last sequence is padded (mask false). As every value has a fixed width, the n-th id of a shard lies in batch
 n // (SEQ * ROWS) at a fixed place, so a reader maps the file and slices without copying. A manifest table holds each
 document's shard, place and length. Shards are written to a temporary name and moved, so a repeated task leaves the
 same file.
@@ -10,7 +10,6 @@ same file.
 
 from __future__ import annotations
 
-import unicodedata  # noqa: F401  the library normalises by the same tables
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +27,12 @@ from .common import new_path, slices
 
 SEQ, ROWS = 1024, 256
 END_ID = 2
-CACHE = 300_000
+CACHE = 600_000
+#: Words of lower-case letters that the normaliser leaves alone, with one sign after them at most.
+LETTERS = "^[a-zÀ-ÖØ-öø-į]+[.,]?$"
+#: Bytes of text whose distinct words are looked up together, and words whose ids are gathered together.
+SLICE, GATHER = 24 << 20, 1 << 19
 SHARD_BYTES = 32 << 20
-SCHEMA = pa.schema([("ids", pa.list_(pa.uint32(), SEQ)), ("mask", pa.list_(pa.uint8(), SEQ))])
 MANIFEST = "shard int, path string, doc_id long, local_start long, n_tokens long"
 
 
@@ -38,7 +41,7 @@ class WordEncoder:
 
     The vocabulary drops white space before anything is merged, and its normaliser works within words, so a text's ids
     are those of its white-space separated words. Texts with separators that only Python counts as white space are
-    encoded whole.
+    encoded whole, as are those that may hold special tokens.
     """
 
     def __init__(self, path: str):
@@ -50,22 +53,83 @@ class WordEncoder:
         self.of = Tokenizer.from_file(path)
         self.of.no_truncation()
         self.of.no_padding()
+        self.kind = np.dtype("<u2" if self.of.get_vocab_size() <= 1 << 16 else "<u4")
+        vocab = self.of.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cache = self.cache
-        cut = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        missing = list({w for x in cut if x for w in x} - cache.keys())
-        if len(cache) + len(missing) > CACHE:
+        self.stems: dict[str, bytes] = {}
+
+    def _each(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Ids of words, each encoded by itself."""
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            into.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(some, self.of.encode_batch_fast(some, add_special_tokens=False)))
+
+    def _letters(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Ids of words that are one pre-token each: encoded as one text, and cut after each id that ends a word."""
+        wide = self.kind.itemsize
+        for i in range(0, len(words), 4096):
+            some = words[i : i + 4096]
+            ids = np.array(self.of.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) != len(some):
+                self._each(some, into)
+                continue
+            raw, at = ids.tobytes(), np.r_[0, (ends + 1) * wide].tolist()
+            into.update(zip(some, (raw[a:b] for a, b in zip(at[:-1], at[1:]))))
+
+    def _known(self, cache: dict[str, bytes], words: list[str], how) -> list[bytes]:
+        """Ids of distinct words by a cache of bounded size."""
+        lacking = [w for w in words if w not in cache]
+        if len(cache) + len(lacking) > CACHE:
             cache.clear()
-            missing = list({w for x in cut if x for w in x})
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            for w, e in zip(some, self.of.encode_batch_fast(some, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        of = cache.__getitem__
-        return [np.array(self.of.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x is None else b"".join(map(of, x)) for t, x in zip(texts, cut)]
+            lacking = words
+        how(lacking, cache)
+        return list(map(cache.__getitem__, words))
+
+    def _words(self, words: pa.Array) -> list[bytes]:
+        """Ids of distinct words, ASCII letters lower-cased. Letters and a sign after them are pre-tokens of their own."""
+        plain = pc.match_substring_regex(words, LETTERS)
+        stems = pc.replace_substring_regex(words.filter(plain), "[.,]$", "").dictionary_encode()
+        of_stem = self._known(self.stems, stems.dictionary.to_pylist(), self._letters)
+        signs = pc.index_in(pc.utf8_slice_codeunits(words.filter(plain), -1), value_set=pa.array([",", "."]))
+        of_sign = self._known(self.cache, [",", "."], self._each) + [b""]
+        both = [of_stem[i] + of_sign[j] for i, j in zip(stems.indices.to_pylist(), pc.fill_null(signs, 2).to_pylist())]
+        rest = self._known(self.cache, [w or "." for w in words.filter(pc.invert(plain)).to_pylist()], self._each)
+        out = np.empty(len(words), object)
+        mask = plain.to_numpy(zero_copy_only=False)
+        out[mask], out[~mask] = both, rest
+        return out.tolist()
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian ids of each text, of the vocabulary's kind; null is empty."""
+        texts = pc.fill_null(texts, "")
+        # ASCII letters are lower-cased one by one, so that can come first, but for what may spell a special token
+        odd = np.flatnonzero(pc.match_substring_regex(texts, "[\x1c-\x1f]|<[|]").to_numpy(zero_copy_only=False))
+        cut = pc.utf8_split_whitespace(pc.ascii_lower(texts))
+        flat = cut.flatten().dictionary_encode()
+        raws = self._words(flat.dictionary)
+        if (none := pc.index(flat.dictionary, "").as_py()) >= 0:
+            raws[none] = b""
+        wide = self.kind.itemsize
+        size = np.array(list(map(len, raws)), np.int32) // wide
+        ids, start, index = np.frombuffer(b"".join(raws), self.kind), np.cumsum(size) - size, flat.indices.to_numpy()
+        bounds = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        held: list[bytes] = []
+        i = 0
+        while i < len(texts):  # the ids of all words of some texts, one after another
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + GATHER, side="right")) - 1)
+            mine = index[bounds[i] : bounds[j]]
+            n = size[mine]
+            ends = np.cumsum(n, dtype=np.int32)
+            body = ids[np.repeat((start[mine] - (ends - n)).astype(np.int32), n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)].tobytes()
+            at = (np.r_[np.int32(0), ends][bounds[i : j + 1] - bounds[i]].astype(np.int64) * wide).tolist()
+            held += [body[x:y] for x, y in zip(at[:-1], at[1:])]
+            i = j
+        for k in odd.tolist():
+            held[k] = np.array(self.of.encode(texts[k].as_py(), add_special_tokens=False).ids, self.kind).tobytes()
+        return held
 
 
 @lru_cache(maxsize=2)
@@ -86,14 +150,16 @@ def filesystem(uri: str):
 class ShardWriter:
     """Packs ids into the stream file of one shard."""
 
-    def __init__(self, folder: str, shard: int):
+    def __init__(self, folder: str, shard: int, kind: np.dtype):
+        self.kind, self.wide = kind, kind.itemsize
         self.fs, base = filesystem(folder)
         self.fs.create_dir(base, recursive=True)
         self.final = f"{base}/shard-{shard:06d}.arrows"
         self.temporary = f"{self.final}.{uuid.uuid4().hex}.tmp"
         self.uri = f"{folder}/shard-{shard:06d}.arrows"
         self.file = self.fs.open_output_stream(self.temporary)
-        self.stream = pa.ipc.new_stream(self.file, SCHEMA)
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), SEQ)), ("mask", pa.list_(pa.bool_(), SEQ))])
+        self.stream = pa.ipc.new_stream(self.file, self.schema)
         self.held: list[bytes] = []
         self.size = self.total = 0
 
@@ -101,29 +167,29 @@ class ShardWriter:
         """Append one document's ids; its place in the shard is returned."""
         at = self.total
         self.held.append(raw)
-        self.size += len(raw) // 4
-        self.total += len(raw) // 4
+        self.size += len(raw) // self.wide
+        self.total += len(raw) // self.wide
         if self.size >= SEQ * ROWS:
             self.flush(False)
         return at
 
     def flush(self, last: bool) -> None:
         """Write full batches; at the end the rest as well, padded."""
-        ids = np.frombuffer(b"".join(self.held), "<u4")
+        ids = np.frombuffer(b"".join(self.held), self.kind)
         step = SEQ * ROWS
         full = len(ids) // step * step
         for i in range(0, full, step):
-            self.batch(ids[i : i + step], np.ones(step, np.uint8))
+            self.batch(ids[i : i + step], np.ones(step, bool))
         ids = ids[full:]
         if last and len(ids):
             n = -len(ids) % SEQ
-            self.batch(np.r_[ids, np.zeros(n, "<u4")], np.r_[np.ones(len(ids), np.uint8), np.zeros(n, np.uint8)])
+            self.batch(np.r_[ids, np.zeros(n, self.kind)], np.r_[np.ones(len(ids), bool), np.zeros(n, bool)])
             ids = ids[:0]
         self.held, self.size = [ids.tobytes()], len(ids)
 
     def batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
         """One record batch of whole sequences."""
-        self.stream.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids, pa.uint32()), SEQ), pa.FixedSizeListArray.from_arrays(pa.array(mask), SEQ)], schema=SCHEMA))
+        self.stream.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), SEQ), pa.FixedSizeListArray.from_arrays(pa.array(mask), SEQ)], schema=self.schema))
 
     def close(self) -> None:
         """Write what is left and move the file to its place."""
@@ -141,20 +207,23 @@ class ShardReader:
 
         where, path = filesystem(uri)
         source = pa.memory_map(path) if isinstance(where, fs.LocalFileSystem) else where.open_input_file(path)
-        self.batches = [(b.column("ids").flatten().to_numpy(), b.column("mask").flatten().to_numpy()) for b in pa.ipc.open_stream(source)]
+        held = list(pa.ipc.open_stream(source))
+        self.batches = [b.column("ids").flatten().to_numpy() for b in held]
+        masks = [b.column("mask").flatten() for b in held]
+        #: ids before the padding, which only the last batch can have
+        self.size = sum(map(len, self.batches)) - (len(masks[-1]) - (masks[-1].true_count or 0) if masks else 0)
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from start on; a slice of the map where they lie in one batch."""
+        if start + n > self.size:
+            raise ValueError("the ids reach into padding")
         step, parts = SEQ * ROWS, []
         while n:
-            ids, mask = self.batches[start // step]
             a = start % step
             m = min(n, step - a)
-            if not mask[a : a + m].all():
-                raise ValueError("the ids reach into padding")
-            parts.append(ids[a : a + m])
+            parts.append(self.batches[start // step][a : a + m])
             start, n = start + m, n - m
-        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
 
 def write(df: DataFrame, vocabulary: str, folder: str, shards: int, end_id: int = END_ID) -> DataFrame:
@@ -164,13 +233,15 @@ def write(df: DataFrame, vocabulary: str, folder: str, shards: int, end_id: int
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder, out, end = loaded(vocabulary), None, np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text"):
-            out = out or ShardWriter(folder, shard)
-            raws = [x + end for x in encoder.encode([x or "" for x in batch.column("text").to_pylist()])]
+        encoder, out = loaded(vocabulary), None
+        kind = encoder.kind
+        end = np.array([end_id], kind).tobytes()
+        for batch in slices(batches, "text", SLICE):
+            out = out or ShardWriter(folder, shard, kind)
+            raws = [x + end for x in encoder.encode(batch.column("text"))]
             starts = [out.add(x) for x in raws]
             n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([out.uri] * n), batch.column("doc_id"), pa.array(starts, pa.int64()), pa.array([len(x) // 4 for x in raws], pa.int64())], ["shard", "path", "doc_id", "local_start", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([out.uri] * n), batch.column("doc_id"), pa.array(starts, pa.int64()), pa.array([len(x) // kind.itemsize for x in raws], pa.int64())], ["shard", "path", "doc_id", "local_start", "n_tokens"])
         if out:
             out.close()
 
@@ -192,7 +263,7 @@ def read_back(manifest: DataFrame) -> DataFrame:
             for path, start, n in zip(*(batch.column(c).to_pylist() for c in ("path", "local_start", "n_tokens"))):
                 if path != opened:
                     opened, reader = path, ShardReader(path)
-                crc.append(zlib.crc32(reader.ids(start, n).astype("<u4", copy=False).tobytes()))
+                crc.append(zlib.crc32(reader.ids(start, n).astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = manifest.join(F.broadcast(before), "shard").withColumn("start", (F.col("before") + F.col("local_start")).cast("long"))
