@@ -1,14 +1,72 @@
-"""The corpus pipeline (filled in once its operators exist)."""
+"""The corpus pipeline: language ID, near-dedup, suffix dedup, mixing and BPE encoding of documents.
 
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its result is written as Parquet and
+read back as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kinfold.llm import bpe, langid, minhash, mixing, suffix_dedup
+from kinfold.llm.common import materialize, table
+
+#: Texts whose cosine with the nearest language is lower are taken for no language at all. Even single words in a
+#: learnt language lie above it.
+LEAST_COSINE = 0.05
 
+#: The language model and the near-duplicate search have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a learnt language; those without letters or like none of the languages go."""
+    columns = docs.columns
+    model = langid.fit(langid.held_out(docs).where(~F.col("held_out")))
+    told = langid.predict(docs, model, keep=tuple(columns))
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each group of near duplicates."""
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut from each text the strings of 50 bytes that a document with a smaller id has."""
+    return suffix_dedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Order all documents by the mixture's schedule, file by file and row by row."""
+    return mixing.mixed(docs).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add each document's ids, their number, and its place in the mixture: file and row of what mixing wrote."""
+    try:
+        placed = docs.withColumn("mix_file", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")).withColumn("mix_row", F.col("_metadata.row_index"))
+    except AnalysisException:  # docs don't come from files
+        placed = docs.withColumn("mix_file", F.lit(None).cast("int")).withColumn("mix_row", F.lit(None).cast("long"))
+    return bpe.encoded(placed, public_tokenizers.path("byte_bpe_50k.json")).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("language_id", language),
+    ("minhash_near_dedup", near_dedup),
+    ("suffix_array_dedup", exact_dedup),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, one after another."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """Apply the stages to documents; each result but the last is written to the shared folder and read back."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

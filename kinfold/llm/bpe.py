@@ -205,6 +205,19 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def encoded(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+    """df with a column ids (array<int>) of its text's ids; null text gives none."""
+
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        bpe, out = loaded(vocabulary), []
+        for batch in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text"):
+            out += bpe.encode_batch([x or "" for x in batch.column("text").to_pylist()])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return df.withColumn("ids", ids(F.col(f"`{text_col}`").cast("string")))
+
+
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of every row of ids; null ids give null."""
 

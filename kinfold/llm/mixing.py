@@ -84,6 +84,7 @@ def mix(
     block_rows: int = BLOCK_ROWS,
     temper: float = TEMPER,
     period: int = PERIOD,
+    carry: bool = False,
 ) -> DataFrame:
     """Place every row in the mixture: id, source, source_pos, block, slot_release, slot_due, slot, pos_in_block, in_mix.
 
@@ -91,12 +92,12 @@ def mix(
     ordering by (slot, pos_in_block) is the interleaved order. No row is dropped: where a source runs out, its slots
     stay empty, and in_mix tells whether all sources still had blocks at the row's slot, so that the deviation bound
     holds. A null source is a source of its own; null ids are ordered last; repeated rows get places of their own;
-    an empty table gives none; other columns are not looked at.
+    an empty table gives none; other columns are not looked at. With carry, a struct column `row` holds all columns.
 
     A hot source is dealt over buckets of about BUCKET_ROWS rows by a prefix of the md5, each numbered by itself and
     moved on by the counts of the buckets before it, so no task gets a source as a whole.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), source_key(F.col(source_col)).alias("key"), F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("g")).alias("h"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), source_key(F.col(source_col)).alias("key"), F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("g")).alias("h"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []))
     buckets = max(1, df.select(F.lit(1)).count() // BUCKET_ROWS)
     prefix = F.coalesce(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit((1 << 32) - 1))
     rows = rows.withColumn("bucket", F.floor(prefix * F.lit(buckets) / F.lit(1 << 32)).cast("long"))
@@ -129,10 +130,17 @@ def mix(
             "slot",
             ((F.col("source_pos") - 1) % block_rows).cast("long").alias("pos_in_block"),
             (F.col("slot") < F.col("dry")).alias("in_mix"),
+            *(["row"] if carry else []),
         )
     )
 
 
+def mixed(df: DataFrame, targets: Mapping[str, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The rows of df in mixture order: partitions and the rows in them follow (slot, pos_in_block)."""
+    placed = mix(df, targets, id_col=id_col, source_col=source_col, carry=True).select("slot", "pos_in_block", "row")
+    return placed.repartitionByRange("slot", "pos_in_block").sortWithinPartitions("slot", "pos_in_block").select("row.*")
+
+
 ORACLE = f"""
 WITH RECURSIVE counts AS (
   SELECT coalesce('=' || source, 'null') AS key, count(*) AS n FROM documents GROUP BY 1

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_labeller, langid, media, minhash, mixing, suffix_dedup, token_counts, token_files
+from . import bpe, cover_tree, html_labeller, langid, media, minhash, mixing, suffix_dedup, token_counts, token_files
 from .common import table
 
 
@@ -54,6 +54,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all embeddings."""
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
@@ -64,6 +69,7 @@ QUERIES = {
     "op7_media": op7_media,
     "op8_language": op8_language,
     "op9_minhash": op9_minhash,
+    "op10_cover_tree": op10_cover_tree,
 }
 
 ORACLES: dict[str, str] = {

@@ -454,3 +454,19 @@ def dedup_digest(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), *(pa.array([x[j] for x in out], pa.int64()) for j in range(3)), pa.array([x[3] for x in out], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return source.join(found, ["doc", "mark"], "left").select("doc", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with every text cut down to what no document with a smaller id has; the other columns stay.
+
+    Spans are bytes; a character that a span cuts through goes as a whole. Null texts stay null.
+    """
+    source = marked(df, id_col, text_col)
+    found = removals(source.select(F.col("__doc").alias("doc"), F.col("__mark").alias("mark"), F.col("__text").alias("text")))
+
+    @F.arrow_udf("string")
+    def left(texts: pa.Array, found: pa.Array) -> pa.Array:
+        return pa.array([x if x is None or not s else _cut(x.encode("utf-8", "surrogatepass"), s)[0].decode("utf-8", "ignore") for x, s in zip(texts.to_pylist(), found.to_pylist())], pa.string())
+
+    joined = source.join(found.withColumnsRenamed({"doc": "__doc", "mark": "__mark", "spans": "__spans"}), ["__doc", "__mark"], "left")
+    return joined.withColumn("__text", left("__text", "__spans")).select(*[F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])

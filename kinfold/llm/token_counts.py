@@ -22,19 +22,30 @@ from .common import slices
 from .pieces import pieces
 
 CHUNK, OVERLAP, MARGIN = 16_384, 128, 32
-CACHE = 400_000
+CACHE = 600_000
 
 
-def boundaries(encoding, shift: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where pre-tokens of an encoded chunk start in the whole text, and how many tokens stand before each."""
-    words = np.array([-1 if w is None else w for w in encoding.word_ids], np.int64)
-    starts = np.array([a for a, _ in encoding.offsets], np.int64)
-    if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    # every special token stands alone; its neighbours may carry the same word number
-    new = np.r_[True, (words[1:] != words[:-1]) | (words[1:] < 0)]
-    at = np.flatnonzero(new)
-    return starts[at] + shift, at
+def boundaries(encoding, shift: int, low: int, high: int) -> dict[int, int]:
+    """Where pre-tokens of an encoded chunk start within [low, high) of the whole text -> tokens before that place.
+
+    The chunk's last pre-token is left out. Only the tokens within the range are looked at.
+    """
+    n, of_char, word, chars = len(encoding), encoding.char_to_token, encoding.token_to_word, encoding.token_to_chars
+    last = n - 1
+    while last > 0 and word(last) is not None and word(last - 1) == word(last):
+        last -= 1
+    t = next((x for c in range(max(0, low - shift), max(0, high - shift)) if (x := of_char(c)) is not None), n)
+    found = {}
+    before = word(t - 1) if 0 < t < n else -1
+    while t < last:
+        now, at = word(t), chars(t)[0] + shift
+        if at >= high:
+            break
+        # a special token stands alone and may carry its neighbour's word number or none
+        if at >= low and (now is None or now != before):
+            found[at] = t
+        before, t = now, t + 1
+    return found
 
 
 class Counter:
@@ -65,14 +76,12 @@ class Counter:
                 stop = min(len(text), max(end, begin) + self.chunk)
                 right = encode(begin, stop)
                 if begin == proven:  # both are proven from here: the right one replaces the left one
-                    place = (skip, int(np.searchsorted(boundaries(right, begin)[0], proven)))
+                    place = (skip, 0)
                     break
-                (a, na), (b, nb) = boundaries(left, start), boundaries(right, begin)
-                sure = a[:-1][(a[:-1] <= end - self.margin) & (a[:-1] >= max(proven, begin + 1))]
-                common = np.intersect1d(sure, b)
-                if len(common):
-                    p = common[0]
-                    place, proven = (int(na[np.searchsorted(a, p)]), int(nb[np.searchsorted(b, p)])), int(p)
+                sure, other = boundaries(left, start, max(proven, begin + 1), end - self.margin + 1), boundaries(right, begin, begin + 1, end)
+                p = next((x for x in sure if x in other), None)
+                if p is not None:
+                    place, proven = (sure[p], other[p]), p
                     break
                 self.widened += 1
                 overlap *= 2
@@ -84,13 +93,19 @@ class Counter:
         """Tokens of each text."""
         cache = self.cache
         cut = [None if len(t) > self.chunk else [t] if any(s in t for s in self.special) else pieces(t) for t in texts]
-        missing = list({p for x in cut if x for p in x} - cache.keys())
-        if len(cache) + len(missing) > CACHE:
+        needed = {p for x in cut if x for p in x}
+        new = needed - cache.keys()
+        if len(cache) + len(new) > CACHE:
             cache.clear()
-            missing = list({p for x in cut if x for p in x})
+        else:
+            needed = new
+        # a sign after letters starts a pre-token of its own, so it counts by itself
+        signed = {p: p[:-1] for p in needed if p[-1:] in (",", ".") and p[:-1].strip(" ").isalpha()}
+        missing = list(({signed.get(p, p) for p in needed} | {",", "."}) - cache.keys())
         for i in range(0, len(missing), 4096):
             some = missing[i : i + 4096]
             cache.update(zip(some, map(len, self.of.encode_batch_fast(some, add_special_tokens=False))))
+        cache.update((p, cache[word] + cache[p[-1]]) for p, word in signed.items())
         of = cache.__getitem__
         return [self.spliced(t) if x is None else sum(map(of, x)) for t, x in zip(texts, cut)]
 
