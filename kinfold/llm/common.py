@@ -33,11 +33,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/kinfold/{label}-{uuid.uuid4().hex}"
 
 
+#: Whether an execution's shuffle files go when it ends, rather than when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write are of no more use once it is done, so they are dropped then.
+    """
+    session = df.sparkSession
+    path, before = new_path(session, label), session.conf.get(CLEANUP, "false")
+    session.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        session.conf.set(CLEANUP, before)
+    return session.read.schema(df.schema).parquet(path)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -184,17 +184,23 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def units(members: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
-    """Deal the members (key, doc, ...) of each key into units of at most about two blocks: unit, alone, blk.
+def deal(members: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """The members (key, doc) of keys with two or more, and of each the number of its key's blocks and its own one.
 
-    Keys of up to block members are one unit. Larger ones are split into blocks by a hash of doc, and every pair of
-    blocks is a unit; alone tells whether it is a block with itself.
+    Keys of up to block members have one block; larger ones are split by a hash of doc.
     """
     sizes = members.groupBy(key).agg(F.count("*").alias("size")).where("size > 1")
-    n = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    dealt = members.join(sizes, key).withColumn("parts", n).withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
+    dealt = members.join(sizes.hint("merge"), key).withColumn("parts", F.ceil(F.col("size") / F.lit(block)).cast("int"))
+    return dealt.withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).drop("size")
+
+
+def units(dealt: DataFrame, key: str) -> DataFrame:
+    """A row for each unit that a dealt row takes part in: unit and alone, in place of key and parts.
+
+    Every pair of a key's blocks is a unit; alone tells whether it is a block with itself.
+    """
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least("blk", j).alias("i"), F.greatest("blk", j).alias("j"))))
-    return dealt.withColumn("pair", pair).withColumn("unit", F.xxhash64(key, "pair.i", "pair.j")).withColumn("alone", F.expr("pair.i = pair.j")).drop("pair", "parts", "size", key)
+    return dealt.withColumn("pair", pair).withColumn("unit", F.xxhash64(key, "pair.i", "pair.j")).withColumn("alone", F.expr("pair.i = pair.j")).drop("pair", "parts", key)
 
 
 def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -295,14 +301,15 @@ def confirmed_in_units(dealt: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """df (cluster, doc, text) with the text's shingle set in place of the text."""
+    """df (cluster, doc, parts, blk, text) with the text's shingle set in place of the text."""
+    keep = ["cluster", "doc", "parts", "blk"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
             sets = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)]
-            yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("doc"), pa.array(sets, pa.binary())], ["cluster", "doc", "set"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sets, pa.binary())], [*keep, "set"])
 
-    return df.select("cluster", "doc", "text").mapInArrow(run, "cluster long, doc long, set binary")
+    return df.select(*keep, "text").mapInArrow(run, "cluster long, doc long, parts int, blk int, set binary")
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = 85) -> DataFrame:
@@ -319,17 +326,18 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     known = table.where("n > 0 and doc is not null")
     # equal sets: one representative each
     classes = known.groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"))
-    member = known.select("doc", "fp1", "fp2", "n").join(classes, ["fp1", "fp2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    member = known.select("doc", "fp1", "fp2", "n").join(classes.hint("merge"), ["fp1", "fp2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
     reps = materialize(known.join(classes.select(F.col("rep").alias("doc"), "fp1", "fp2", "n"), ["doc", "fp1", "fp2", "n"], "left_semi").dropDuplicates(["doc", "fp1", "fp2"]), "representatives")
-    buckets = reps.select(F.explode("bands").alias("key"), "doc", "sig")
-    near = near_in_units(units(buckets, "key"), threshold)
+    # signatures follow only where a bucket has two members, and texts only where a cluster has
+    shared = deal(reps.select(F.explode("bands").alias("key"), "doc"), "key")
+    near = near_in_units(units(shared, "key").join(reps.select("doc", "sig").hint("merge"), "doc"), threshold)
     clusters = components(near)
     inside = clusters.select(F.col("node").alias("doc"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("doc"), F.col("root").alias("cluster")).distinct())
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(inside, "doc")
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(deal(inside, "cluster").hint("merge"), "doc")
     links = confirmed_in_units(units(sets_of(texts, words), "cluster"), percent)
     found = components(links.unionByName(member))
     return (
-        table.join(found.select(F.col("node").alias("doc"), "root"), "doc", "left")
+        table.join(found.select(F.col("node").alias("doc"), "root").hint("merge"), "doc", "left")
         .select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "doc").alias("component_id"))
         .withColumn("kept", F.col("component_id").eqNullSafe(F.col(id_col)))
     )
