@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Operators: candidate search, pair features, model, decisions and metrics."""

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Sources and sinks: record tables, ground truth, match lists, checkpoints."""
