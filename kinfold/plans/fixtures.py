@@ -78,7 +78,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = candidates(spark, sf_dir)
     pairs = pairs.join(s1.select(F.col("entity_id").alias("s1_id"), F.col("name_n").alias("n1")), "s1_id").join(index.select(F.col("entity_id").alias("cand_id"), F.col("name_n").alias("n2")), "cand_id")
     overlap = similarity.jaccard(similarity.distinct_words(F.col("n1")), similarity.distinct_words(F.col("n2")))
-    return pairs.select("s1_id", "cand_id", F.round(0.5 * F.round("score", 6) + 0.5 * F.greatest(overlap, F.lit(0.0)), 6).alias("prob"), "rank")
+    return pairs.select("s1_id", "cand_id", F.round(0.5 * F.col("score") + 0.5 * F.greatest(overlap, F.lit(0.0)), 6).alias("prob"), "rank")
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,7 +158,7 @@ CTES |= search("a", "addr_terms", fallback=False, s1_filter="doc_id % 20 = 0")
 CTES["addr_cand"] = (("a_score",), "SELECT * FROM (SELECT s1_id, cand_id, score, row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 9) DESC, cand_id) - 1 AS rank FROM a_score) WHERE rank < 20")
 CTES["scored"] = (
     ("cand", "norm"),
-    "SELECT s1_id, cand_id, rank, round(0.5 * round(score, 6) + 0.5 * greatest(" + jaccard("list_distinct(" + split("a.name_n") + ")", "list_distinct(" + split("b.name_n") + ")") + ", 0.0), 6) AS prob FROM cand JOIN norm a ON a.entity_id = s1_id JOIN norm b ON b.entity_id = cand_id",
+    "SELECT s1_id, cand_id, rank, round(0.5 * score + 0.5 * greatest(" + jaccard("list_distinct(" + split("a.name_n") + ")", "list_distinct(" + split("b.name_n") + ")") + ", 0.0), 6) AS prob FROM cand JOIN norm a ON a.entity_id = s1_id JOIN norm b ON b.entity_id = cand_id",
 )
 CTES["assigned"] = (("scored",), "SELECT s1_id, cand_id, prob FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) AS n FROM scored WHERE prob >= 0.7) WHERE n = 1")
 CTES["s1"] = (("records",), "SELECT entity_id AS s1_id, doc_id AS pos, country FROM records WHERE source = 'S1'")
