@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import materialize, slices
 
 LENGTH, GRAM = 50, 16
 SLICE = 6 << 20
@@ -39,6 +39,7 @@ BATCH = 1 << 16
 LOCALLY_FREQUENT = 8
 MOST_FREQUENT = 1 << 20
 NO_ID = np.iinfo(np.int64).max
+NARROW = np.iinfo(np.int32).max
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 _TOP = np.uint64(1 << 63)
@@ -183,15 +184,18 @@ def _merge(who: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 def _pack(who: np.ndarray, pos: np.ndarray, size: np.ndarray, body: bytes, span: tuple[np.ndarray, ...], ids: np.ndarray, marks: np.ndarray) -> bytes:
     """A compressed share: the documents in it, strings with owner and place, and spans that are settled already."""
     used, who2 = np.unique(np.r_[who, span[0]], return_inverse=True)
-    head = np.array([len(used), len(who), len(span[0])], np.int64)
-    parts = [head, ids[used], marks[used], who2.astype(np.int32), pos.astype(np.int64), size.astype(np.int32), span[1].astype(np.int64), span[2].astype(np.int64)]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts) + body)
+    # narrow numbers, and steps where they ascend, take the least room
+    wide = np.int64 if len(pos) and int(pos.max()) > NARROW or len(span[2]) and int(span[2].max()) > NARROW else np.int32
+    long = np.int64 if len(size) and int(size.max()) > 65_535 else np.uint16
+    head = np.array([len(used), len(who), len(span[0]), np.dtype(wide).itemsize, np.dtype(long).itemsize], np.int64)
+    parts = [head, np.diff(ids[used], prepend=0), marks[used], np.diff(who2[: len(who)], prepend=0).astype(np.int32), who2[len(who) :].astype(np.int32), pos.astype(wide), size.astype(long), span[1].astype(wide), span[2].astype(wide)]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts) + body)
 
 
 def _unpack(blob: bytes):
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    u, n, s = np.frombuffer(raw, np.int64, 3).tolist()
-    at = 24
+    u, n, s, wide, long = np.frombuffer(raw, np.int64, 5).tolist()
+    at = 40
 
     def take(kind, k):
         nonlocal at
@@ -199,9 +203,10 @@ def _unpack(blob: bytes):
         at += out.nbytes
         return out
 
-    ids, marks, who = take(np.int64, u), take(np.int64, u), take(np.int32, n + s)
-    pos, size, start, stop = take(np.int64, n), take(np.int32, n), take(np.int64, s), take(np.int64, s)
-    return ids, marks, who[:n], pos, size, (who[n:], start, stop), raw[at:]
+    place, length = f"<i{wide}", "<u2" if long == 2 else "<i8"
+    ids, marks, who, owner = np.cumsum(take(np.int64, u)), take(np.int64, u), np.cumsum(take(np.int32, n), dtype=np.int64), take(np.int32, s)
+    pos, size, start, stop = take(place, n).astype(np.int64), take(length, n).astype(np.int64), take(place, s).astype(np.int64), take(place, s).astype(np.int64)
+    return ids, marks, who, pos, size, (owner, start, stop), raw[at:]
 
 
 def shares(source: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
@@ -215,34 +220,28 @@ def shares(source: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
             ids, marks = batch.column("doc").to_numpy(), batch.column("mark").to_numpy()
             raws = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column("text").to_pylist()]
             seen: dict[bytes, int] = {}
-            out: dict[int, tuple[list, list, list, list]] = {}
-            settled: list[tuple[int, int, int, int]] = []
-            put = seen.setdefault
+            strings: list[bytes] = []
+            found = []
             for data, _, text, pos, first, n, key in window_rows(raws, held.value, filter_):
-                body = data.tobytes()
-                to = (key % np.uint64(buckets)).tolist()
-                for t, p, a, b, k in zip(text.tolist(), pos.tolist(), first.tolist(), (first + n + LENGTH - 1).tolist(), to):
-                    s = body[a:b]
-                    by = put(s, t)
-                    if by != t and ids[by] < ids[t]:
-                        settled.append((t, p, p + b - a, k))
-                        continue
-                    if (mine := out.get(k)) is None:
-                        mine = out[k] = ([], [], [], [])
-                    mine[0].append(t)
-                    mine[1].append(p)
-                    mine[2].append(b - a)
-                    mine[3].append(s)
-            spans: dict[int, list] = {}
-            if settled:
-                who, start, stop = _merge(*(np.array([x[j] for x in settled], np.int64) for j in range(3)))
-                for t, a, b in zip(who.tolist(), start.tolist(), stop.tolist()):
-                    spans.setdefault((t * 7919 + a) % buckets, []).append((t, a, b))
+                body, size = data.tobytes(), n + LENGTH - 1
+                now = [body[a:b] for a, b in zip(first.tolist(), (first + size).tolist())]
+                # the first text of this slice that has each string; texts are in the order of their ids
+                by = np.fromiter(map(seen.setdefault, now, text.tolist()), np.int64, len(now))
+                strings += now
+                found.append((text, pos, size, (key % np.uint64(buckets)).astype(np.int64), ids[by] < ids[text]))
+            if not found:
+                continue
+            text, pos, size, to, done = map(np.concatenate, zip(*found))
+            settled = _merge(text[done], pos[done], pos[done] + size[done])
+            spread = (settled[0] * 7919 + settled[1]) % buckets
+            left = np.flatnonzero(~done)
+            left = left[np.argsort(to[left], kind="stable")]
             rows = []
-            for k in out.keys() | spans.keys():
-                who, pos, size, body = out.get(k, ([], [], [], []))
-                span = spans.get(k, [])
-                rows.append((k, _pack(np.array(who, np.int64), np.array(pos, np.int64), np.array(size, np.int64), b"".join(body), tuple(np.array([x[j] for x in span], np.int64) for j in range(3)), ids, marks)))
+            edges = np.searchsorted(to[left], np.arange(buckets + 1)).tolist() if buckets <= len(left) else None
+            for k in np.union1d(to[left], spread).tolist():
+                i, j = (edges[k], edges[k + 1]) if edges else np.searchsorted(to[left], [k, k + 1]).tolist()
+                mine, own = left[i:j], spread == k
+                rows.append((k, _pack(text[mine], pos[mine], size[mine], b"".join(map(strings.__getitem__, mine.tolist())), tuple(x[own] for x in settled), ids, marks)))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "blob"])
 
     return source.mapInArrow(run, "bucket int, blob binary")
@@ -305,12 +304,15 @@ class IndexFamily:
 def repeats(body: np.ndarray, who: np.ndarray, pos: np.ndarray, at: np.ndarray, size: np.ndarray, ids: np.ndarray, frequent: np.ndarray, filter_: np.ndarray | None):
     """(owner, start, stop) of all windows of the strings that a smaller document has, where the strings differ."""
     # strings whose key no other document's string has can't share a window
-    h = gram_hashes(body, frequent, filter_) if len(body) >= GRAM else np.zeros(0, np.uint64)
-    end = at + size - GRAM + 1
-    bounds = np.empty(2 * len(at), np.int64)
-    bounds[::2], bounds[1::2] = at, end
-    h = np.append(h, np.full(GRAM, np.iinfo(np.uint64).max, np.uint64))
-    key = np.minimum.reduceat(h, bounds)[::2]
+    key, i = np.empty(len(at), np.uint64), 0
+    while i < len(at):  # some strings at a time, so that hashes stay in the cache
+        j = max(i + 1, int(np.searchsorted(at, at[i] + STRETCH)))
+        part = body[at[i] : at[j - 1] + size[j - 1]]
+        h = np.append(gram_hashes(part, frequent, filter_), np.full(GRAM, np.iinfo(np.uint64).max, np.uint64))
+        bounds = np.empty(2 * (j - i), np.int64)
+        bounds[::2], bounds[1::2] = at[i:j] - at[i], at[i:j] - at[i] + size[i:j] - GRAM + 1
+        key[i:j] = np.minimum.reduceat(h, bounds)[::2]
+        i = j
     order = np.argsort(key, kind="stable")
     new = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     doc = ids[who][order]
@@ -346,40 +348,34 @@ def spans(dealt: DataFrame, frequent: np.ndarray) -> DataFrame:
 
     def bucket_spans(blobs: list[bytes], filter_: np.ndarray | None) -> pa.RecordBatch:
         ids, marks, who, pos, size, bodies, found = [], [], [], [], [], [], []
-        seen: dict[bytes, list] = {}
         base = 0
         for blob in blobs:
             i, m, w, p, n, span, body = _unpack(blob)
             ids.append(i)
             marks.append(m)
             found.append((span[0] + base, span[1], span[2]))
-            docs, a = i[w].tolist(), 0
-            for d, o, q, k in zip(docs, (w + base).tolist(), p.tolist(), n.tolist()):
-                s = body[a : a + k]
-                a += k
-                if (x := seen.get(s)) is None:
-                    seen[s] = [d, (o, q)]
-                elif d == x[0]:
-                    x.append((o, q))
-                elif d > x[0]:
-                    who.append(o)
-                    pos.append(q)
-                    size.append(k)
-                else:
-                    for o2, q2 in x[1:]:
-                        who.append(o2)
-                        pos.append(q2)
-                        size.append(k)
-                    x[:] = [d, (o, q)]
+            who.append(w.astype(np.int64) + base)
+            pos.append(p)
+            size.append(n.astype(np.int64))
+            bodies.append(body)
             base += len(i)
-        ids, marks = np.concatenate(ids), np.concatenate(marks)
-        p, n = np.array(pos, np.int64), np.array(size, np.int64)
-        found.append((np.array(who, np.int64), p, p + n))
-        if seen:
-            strings = [(s, o, q) for s, x in seen.items() for o, q in x[1:]]
-            size = np.array([len(s) for s, _, _ in strings], np.int64)
-            body = np.frombuffer(b"".join(s for s, _, _ in strings), np.uint8)
-            more = repeats(body, np.array([o for _, o, _ in strings], np.int64), np.array([q for _, _, q in strings], np.int64), np.cumsum(size) - size, size, ids, held.value, filter_)
+        ids, marks, who, pos, size = map(np.concatenate, (ids, marks, who, pos, size))
+        body = b"".join(bodies)
+        del bodies
+        if len(who):
+            stop = np.cumsum(size)
+            at = stop - size
+            seen: dict[bytes, int] = {}
+            # equal strings: all but those of the least document go as a whole
+            alike = np.fromiter((seen.setdefault(body[a:b], k) for k, (a, b) in enumerate(zip(at.tolist(), stop.tolist()))), np.int64, len(who))
+            del seen
+            doc = ids[who]
+            least = doc.copy()
+            np.minimum.at(least, alike, doc)
+            stay = doc == least[alike]
+            gone = ~stay
+            found.append((who[gone], pos[gone], pos[gone] + size[gone]))
+            more = repeats(np.frombuffer(body, np.uint8), who[stay], pos[stay], at[stay], size[stay], ids, held.value, filter_)
             if more is not None:
                 found.append(more)
         who, start, stop = _merge(*(np.concatenate([x[j] for x in found]).astype(np.int64) for j in range(3)))
@@ -409,12 +405,18 @@ def removals(source: DataFrame, buckets: int | None = None) -> DataFrame:
         buckets = max(2 * int(session.conf.get("spark.sql.shuffle.partitions")), int(total * SPREAD / BUCKET_BYTES) + 1)
     frequent = frequent_grams(source, buckets, total)
     dealt = shares(source, buckets, frequent).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return spans(dealt, frequent).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    # written first, so that the shares are gone when the texts move
+    return materialize(spans(dealt, frequent), "spans").groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
 def marked(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc (NO_ID for null), mark (a hash of the text, as an id may come with several texts) and text, before df's columns."""
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("__doc"), F.xxhash64(F.col(text_col).cast("string")).alias("__mark"), F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in df.columns])
+    """doc (NO_ID for null), mark and text, before df's columns.
+
+    Where an id comes with several rows, mark is a hash of the text, so that places in them stay apart; else it is 0.
+    """
+    repeated = not df.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    mark = F.xxhash64(F.col(text_col).cast("string")) if repeated else F.lit(0).cast("long")
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("__doc"), mark.alias("__mark"), F.col(text_col).cast("string").alias("__text"), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def _cut(raw: bytes, found: list[dict] | None) -> tuple[bytes, int]:
