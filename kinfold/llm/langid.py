@@ -30,6 +30,8 @@ DIM, SEED = 2048, 20_240
 CLASSES = 64
 PROFILE = CLASSES**3
 UNKNOWN = "und"
+#: Bytes of text whose triples are held at a time; they take some forty times that.
+SLICE = 2 << 20
 #: Languages are labels of a closed set; each takes PROFILE * 4 bytes of the model. More than so many are refused.
 MAX_LANGUAGES = 128
 
@@ -68,7 +70,7 @@ def counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             langs = batch.column("lang").to_pylist()
             tri, at = triples(batch.column("text").to_pylist())
             for lang in set(langs):
@@ -145,13 +147,16 @@ def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
 def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with lang_pred and score of every row. The text is the only input of a prediction."""
     held = df.sparkSession.sparkContext.broadcast(model)
+    own = text_col in keep
+    text = text_col if own else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
-            names, scores = held.value.predict(batch.column("__text").to_pylist())
+        for batch in slices(batches, text, SLICE):
+            names, scores = held.value.predict(batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
 
-    source = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    columns = [F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in keep]
+    source = df.select(*columns, *([] if own else [F.col(f"`{text_col}`").cast("string").alias(text)]))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
     return source.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
