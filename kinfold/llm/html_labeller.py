@@ -26,7 +26,7 @@ from .html_blocks import Block, blocks
 
 #: Sizes of the model, and of its training: pages written, passes over them, pages a step.
 NAMES, WORDS, DIM, HIDDEN = 1024, 512, 16, 24
-PAGES, PASSES, STEP, RATE, SEED = 1600, 7, 16, 0.006, 11
+PAGES, PASSES, STEP, RATE, SEED = 1600, 10, 16, 0.006, 11
 
 #: Names that layouts give to regions (the grammar's vocabulary).
 REGIONS = {
@@ -55,7 +55,7 @@ class Pages:
         words = [r.choice(self.words) for _ in range(r.randint(1, most) if r.random() < 0.7 else r.randint(1, 5))]
         if r.random() < 0.7:
             words[0] = words[0].capitalize()
-        if r.random() < 0.04:
+        if r.random() < 0.08:
             words = r.choice([words[:1] * len(words), [x for w in words for x in (w, "|")], [w + "***" for w in words], [w.upper() for w in words], [str(len(w)) for w in words]])
         out = " ".join(w + ("," if r.random() < 0.08 else "") for w in words) + r.choice([".", ".", ".", "", "!", "?"])
         return out if r.random() < 0.9 else out + r.choice([" ***", " &amp;&amp;", " %%%", " ###", " Released under the MIT License.", " a@b.org", " &quot;x&quot;", " 2024"])
@@ -206,7 +206,7 @@ class Labeller:
         page = np.repeat(np.arange(b), sizes)
         place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         at = {"f": place, "b": np.repeat(sizes, sizes) - 1 - place}
-        live = [int(k) for k in np.searchsorted(-np.sort(-sizes), -np.arange(t), side="left")]  # pages that reach step k, when sorted by length
+        live = (b - np.searchsorted(np.sort(sizes), np.arange(t), side="right")).tolist()  # pages that reach step k; longer ones come first
         order = np.empty(b, np.int64)
         order[np.argsort(-sizes, kind="stable")] = np.arange(b)
         row = order[page]
@@ -278,8 +278,8 @@ class Labeller:
         for done in range(passes):
             losses = []
             for s in r.permutation(len(steps)):
-                # words and numbers of some blocks are hidden, so that the path alone has to do
-                some = [(a, [[] if hide else w for w, hide in zip(b, hidden)], c * ~hidden[:, None]) for a, b, c in (pages[i] for i in steps[s]) for hidden in [r.random(len(a)) < 0.5]]
+                # words and numbers of most blocks are hidden, so that the path and its surroundings have to do
+                some = [(a, [[] if hide else w for w, hide in zip(b, hidden)], c * ~hidden[:, None]) for a, b, c in (pages[i] for i in steps[s]) for hidden in [r.random(len(a)) < 0.75]]
                 loss, g = self.gradients(some, np.concatenate([truths[i] for i in steps[s]]))
                 losses.append(loss)
                 k += 1
