@@ -306,8 +306,22 @@ _RATIO = "CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 ELSE round(200.0 *
 register("f01_ratio", lambda spark, d: _name_pairs(spark, d).select("s1_id", F.round(similarity.ratio(F.substring("s1_name", 1, 24), F.substring("cand_name", 1, 24)), 6).alias("ratio")), o.sql("SELECT s1_id, " + _RATIO.format(a="a", b="b", l=o.lcs("a", "b")) + " AS ratio FROM (SELECT s1_id, substr(n1, 1, 24) AS a, substr(n2, 1, 24) AS b FROM ctx WHERE rank = 0)", "ctx"))
 _TIDY = "array_to_string(list_sort(string_split({}, ' ')), ' ')"
 register("f02_token_sort", lambda spark, d: _name_pairs(spark, d).select("s1_id", F.round(similarity.token_sort_ratio(F.substring("s1_name", 1, 24), F.trim(F.substring("cand_name", 1, 24))), 6).alias("ratio")), o.sql("SELECT s1_id, " + _RATIO.format(a="a", b="b", l=o.lcs("a", "b")) + f" AS ratio FROM (SELECT s1_id, {_TIDY.format('trim(substr(n1, 1, 24))')} AS a, {_TIDY.format('trim(substr(n2, 1, 24))')} AS b FROM ctx WHERE rank = 0)", "ctx"))
-register("f03_token_set", lambda spark, d: _name_pairs(spark, d).select("s1_id", F.round(similarity.token_set_ratio(F.col("s1_name"), F.col("cand_name")), 6).alias("ratio")))
-register("f04_partial", lambda spark, d: _name_pairs(spark, d).select("s1_id", F.round(similarity.partial_ratio(F.col("s1_name"), F.col("cand_name")), 6).alias("ratio")))
+_REST = "array_to_string(list_sort(list_filter({}, lambda t: NOT list_contains({}, t))), ' ')"
+register(
+    "f03_token_set",
+    lambda spark, d: _name_pairs(spark, d).select("s1_id", F.round(similarity.token_set_ratio(F.col("s1_name"), F.col("cand_name")), 6).alias("ratio")),
+    o.sql(
+        f"SELECT s1_id, round({o.token_set('nw1', 'nw2')}, 6) AS ratio FROM (SELECT *, (shared > 0)::INT AS g FROM (SELECT s1_id, nw1, nw2, len(list_intersect(nw1, nw2)) AS shared, length(array_to_string(list_intersect(nw1, nw2), ' ')) AS sl, {_REST.format('nw1', 'nw2')} AS p, {_REST.format('nw2', 'nw1')} AS q FROM ctx2 WHERE rank = 0))",
+        "ctx2",
+    ),
+)
+# windows of the longer string by their start, from before its first character on; both orders for equal lengths
+_WINDOWS = f"SELECT s1_id, max(CASE WHEN length(x) + length(y) = 0 THEN 100.0 WHEN length(x) = 0 THEN 0.0 ELSE 200.0 * {o.lcs('x', 'y')} / (length(x) + length(y)) END) AS best FROM (SELECT s1_id, x, substr(y, greatest(i, 0) + 1, length(x) + least(i, 0)) AS y FROM (SELECT s1_id, x, y, unnest(range(1 - length(x), greatest(length(y), 1))) AS i FROM sides)) GROUP BY s1_id"
+register(
+    "f04_partial",
+    lambda spark, d: _name_pairs(spark, d).select("s1_id", F.round(similarity.partial_ratio(F.substring("s1_name", 1, 9), F.substring("cand_name", 1, 14)), 6).alias("ratio")),
+    o.sql(f"SELECT s1_id, round(best, 6) AS ratio FROM ({_WINDOWS})", "ctx", sides="SELECT s1_id, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS x, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS y FROM (SELECT s1_id, substr(n1, 1, 9) AS a, substr(n2, 1, 14) AS b FROM ctx WHERE rank = 0) UNION ALL SELECT s1_id, b, a FROM (SELECT s1_id, substr(n1, 1, 9) AS a, substr(n2, 1, 14) AS b FROM ctx WHERE rank = 0) WHERE length(a) = length(b)"),
+)
 _POSTAL = "list_filter(r, lambda x: length(x) IN (5, 6))[-1]"
 register(
     "f06_postal_house",
@@ -411,10 +425,21 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 register("e01_assign", lambda spark, d: decide.assign(fx.scored(spark, d)).select("s1_id", "cand_id", "prob"), o.sql("SELECT s1_id, cand_id, prob FROM assigned", "assigned"))
 register("e02_best_subset", lambda spark, d: fx.scored(spark, d).groupBy("s1_id").agg(F.transform(F.array_sort(F.collect_list(-F.col("prob"))), lambda x: -x).alias("p")).select("s1_id", decide.best_size(F.col("p")).alias("k")))
-register("e03_decode", lambda spark, d: decide.decode(decide.assign(fx.scored(spark, d), decide.ASSIGN_FLOOR), decide.GAMMA, decide.FLOOR))
+_RAISED = "least(greatest(pow(prob, {g}), 1e-6), 1 - 1e-6)"
+_PLAYED = "SELECT s1_id, cand_id, prob, " + _RAISED.format(g=decide.GAMMA) + f" AS p FROM assigned02 WHERE prob >= {decide.FLOOR}"
+_DECODED = o.decoded("played")
+register("e03_decode", lambda spark, d: decide.decode(decide.assign(fx.scored(spark, d), decide.ASSIGN_FLOOR), decide.GAMMA, decide.FLOOR), o.sql(_DECODED, "assigned02", played=_PLAYED))
 register("e04_macro_f05", lambda spark, d: metrics.macro_f05(_s1(spark, d), decide.assign(fx.scored(spark, d)), fx.truth(spark, d)).select(r6("score")), o.sql("SELECT round(avg(score), 6) AS score FROM ent", "ent"))
 register("e05_entity_scores", lambda spark, d: metrics.entity_scores(_s1(spark, d), decide.assign(fx.scored(spark, d)), fx.truth(spark, d)).select("s1_id", "n_true", "n_pred", "tp", r6("score")), o.sql("SELECT s1_id, n_true, n_pred, tp, round(score, 6) AS score FROM ent", "ent"))
-register("e06_calibration_sweep", lambda spark, d: metrics.calibration_sweep(_s1(spark, d), decide.assign(fx.scored(spark, d), decide.ASSIGN_FLOOR), fx.truth(spark, d)).select("gamma", "floor", r6("score")))
+_GRID = " UNION ALL ".join(f"SELECT {g}::DOUBLE AS gamma, {f}::DOUBLE AS floor" for g in metrics.GAMMAS for f in metrics.FLOORS)
+_SWEPT = o.sql(
+    f"""SELECT gamma, floor, round(avg(score), 6) AS score FROM (
+      SELECT g.gamma, g.floor, s1.s1_id, {o.f05('coalesce(p.tp, 0)', 'coalesce(p.n, 0)', 'coalesce(t.n, 0)')} AS score FROM grid g CROSS JOIN s1
+      LEFT JOIN (SELECT s1_id, count(*) AS n FROM truth GROUP BY ALL) t USING (s1_id)
+      LEFT JOIN (SELECT a.gamma, a.floor, a.s1_id, count(*) AS n, count(t.cand_id) AS tp FROM dec a LEFT JOIN truth t USING (s1_id, cand_id) GROUP BY ALL) p ON p.gamma = g.gamma AND p.floor = g.floor AND p.s1_id = s1.s1_id) GROUP BY ALL""",
+    "assigned02", "s1", "truth", grid=_GRID, played="SELECT gamma, floor, s1_id, cand_id, prob, " + _RAISED.format(g="gamma") + " AS p FROM assigned02 CROSS JOIN grid WHERE prob >= floor", dec=o.decoded("played", "gamma, floor, s1_id"),
+)
+register("e06_calibration_sweep", lambda spark, d: metrics.calibration_sweep(_s1(spark, d), decide.assign(fx.scored(spark, d), decide.ASSIGN_FLOOR), fx.truth(spark, d)).select("gamma", "floor", r6("score")), _SWEPT)
 _AT = " UNION ALL ".join(
     f"SELECT {t} AS threshold, round(avg(score), 6) AS score, round(avg((n_pred = 0)::INT), 6) AS empty FROM (SELECT s1.s1_id, coalesce(p.n, 0) AS n_pred, {o.f05('coalesce(p.tp, 0)', 'coalesce(p.n, 0)', 'coalesce(t.n, 0)')} AS score FROM s1 LEFT JOIN (SELECT s1_id, count(*) AS n FROM truth GROUP BY ALL) t USING (s1_id) LEFT JOIN (SELECT a.s1_id, count(*) AS n, count(t.cand_id) AS tp FROM best a LEFT JOIN truth t USING (s1_id, cand_id) WHERE prob >= {t} GROUP BY ALL) p USING (s1_id))"
     for t in metrics.THRESHOLDS
@@ -445,7 +470,7 @@ def _redecode(spark: SparkSession, d: str) -> DataFrame:
     return io.match_lists(fx.records(spark, d).where("source = 'S1'"), found, [F.col("place")])
 
 
-register("e12_redecode", _redecode)
+register("e12_redecode", _redecode, o.sql(f"SELECT s1_id AS source1_entity_id, coalesce(string_agg(cand_id, ',' ORDER BY place), '') AS matched_entity_ids FROM s1 LEFT JOIN ({_DECODED}) USING (s1_id) GROUP BY ALL", "s1", "assigned02", played=_PLAYED))
 
 # ---- model (M)
 

@@ -161,6 +161,7 @@ CTES["scored"] = (
     "SELECT s1_id, cand_id, rank, round(0.5 * score + 0.5 * greatest(" + jaccard("list_distinct(" + split("a.name_n") + ")", "list_distinct(" + split("b.name_n") + ")") + ", 0.0), 6) AS prob FROM cand JOIN norm a ON a.entity_id = s1_id JOIN norm b ON b.entity_id = cand_id",
 )
 CTES["assigned"] = (("scored",), "SELECT s1_id, cand_id, prob FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) AS n FROM scored WHERE prob >= 0.7) WHERE n = 1")
+CTES["assigned02"] = (("scored",), "SELECT s1_id, cand_id, prob FROM (SELECT *, row_number() OVER (PARTITION BY cand_id ORDER BY prob DESC, s1_id) AS n FROM scored WHERE prob >= 0.02) WHERE n = 1")
 CTES["s1"] = (("records",), "SELECT entity_id AS s1_id, doc_id AS pos, country FROM records WHERE source = 'S1'")
 
 
@@ -191,6 +192,29 @@ CTES["err_scores"] = (
 )
 
 
+def token_set(a: str, b: str) -> str:
+    """F3 of columns of distinct words i (shared), and sorted rests joined: p, q."""
+    return f"""CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 WHEN shared > 0 AND (p = '' OR q = '') THEN 100.0 ELSE greatest(
+        100 - 100.0 * (length(p) + length(q) - 2 * {lcs('p', 'q')}) / (2 * sl + 2 * g + length(p) + length(q)),
+        CASE WHEN g = 0 THEN 0.0 ELSE 100 - 100.0 * (g + length(p)) / (2 * sl + g + length(p)) END,
+        CASE WHEN g = 0 THEN 0.0 ELSE 100 - 100.0 * (g + length(q)) / (2 * sl + g + length(q)) END) END"""
+
+
+def poisson_binomial(p: str) -> str:
+    """Distribution of the number of matches among independent ones: place i holds i - 1 matches."""
+    return f"list_reduce({p}, lambda acc, q: list_transform(range(1, len(acc) + 2), lambda i: coalesce(acc[i], 0.0) * (1 - q) + CASE WHEN i > 1 THEN acc[i - 1] * q ELSE 0.0 END), [1.0::DOUBLE])"
+
+
+def decoded(source: str, keys: str = "s1_id") -> str:
+    """Predicted pairs of source (keys, cand_id, prob, p), p being clipped, by exact expected scores."""
+    return f"""SELECT {keys}, ids[i] AS cand_id, probs[i] AS prob, i - 1 AS place FROM (
+        SELECT {keys}, ids, probs, CASE WHEN round(none, 12) >= list_max(scores) THEN 0 ELSE list_position(scores, list_max(scores)) END AS best FROM (
+          SELECT {keys}, ids, probs, list_product(list_transform(ps, lambda q: 1 - q)) AS none, list_transform(range(1, len(ps) + 1), lambda k: round(
+            list_sum(list_transform(range(1, k + 2), lambda t: list_sum(list_transform(range(1, len(ps) - k + 2), lambda u: heads[k][t] * tails[k][u] * 1.25 * (t - 1) / (0.25 * (t + u - 2) + k))))), 12)) AS scores FROM (
+              SELECT *, list_transform(range(1, len(ps) + 1), lambda k: {poisson_binomial('ps[1:k]')}) AS heads, list_transform(range(1, len(ps) + 1), lambda k: {poisson_binomial('ps[k + 1:len(ps)]')}) AS tails FROM (
+                SELECT {keys}, list(p ORDER BY p DESC, cand_id) AS ps, list(cand_id ORDER BY p DESC, cand_id) AS ids, list(prob ORDER BY p DESC, cand_id) AS probs FROM {source} GROUP BY {keys})))), unnest(range(1, best + 1)) AS r(i)"""
+
+
 def sql(select: str, *names: str, **more: str) -> str:
     """A query over named CTEs, with what they need before them."""
     order: list[str] = []

@@ -1 +1 @@
-"""See the package README for what lives here."""
+"""Incremental matching of records that arrive as a stream."""
