@@ -17,17 +17,20 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .pieces import pieces
+from .pieces import Cut, Known, pieces
 
 #: Pre-token pattern of the byte-level vocabularies (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = 48
 CACHE = 400_000
+#: Bytes of text whose distinct pieces are looked up together, and pieces whose ids are gathered together.
+SLICE, GATHER = 16 << 20, 1 << 19
 NONE = np.iinfo(np.int32).max
 
 
@@ -63,6 +66,10 @@ class Bpe:
         self.of_pair = {int(k): (int(r), int(m)) for k, r, m in zip(self.keys, self.ranks, self.made)}
         self.merge_of = np.zeros(len(pairs), np.int64)
         self.merge_of[self.ranks] = self.made
+        self.of_bytes = self.rank(np.repeat(self.first, 256), np.tile(self.first, 256)).reshape(256, 256)
+        self.kind = np.dtype(np.uint16 if len(self.bytes) <= 1 << 16 else np.int32)
+        self.spaced = Known(lambda words: zip(words, self._raw([" " + w for w in words])), CACHE)
+        self.bare = Known(lambda words: zip(words, self._raw(words)), CACHE)
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, tuple[int, ...]] = {}
@@ -76,33 +83,34 @@ class Bpe:
     def _short(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Words of one length, a row each: ids in place of the boundaries, ranks of each with the next."""
         rows, n = len(words), len(words[0])
-        ids = self.first[np.frombuffer(b"".join(words), np.uint8).reshape(rows, n)]
+        raw = np.frombuffer(b"".join(words), np.uint8).reshape(rows, n)
+        ids = self.first[raw]
         out: list[tuple[int, ...]] = [()] * rows
         who = np.arange(rows)
-        ranks = self.rank(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(rows, n - 1)
+        ranks = self.of_bytes[raw[:, :-1], raw[:, 1:]]
         while n > 1:
             at = ranks.argmin(1)
             best = ranks[np.arange(len(who)), at]
             if (done := best == NONE).any():
                 for i, row in zip(who[done].tolist(), ids[done].tolist()):
                     out[i] = tuple(row)
-                who, ids, ranks, at, best = who[~done], ids[~done], ranks[~done], at[~done], best[~done]
+                left = ~done
+                who, ids, ranks, at, best = who[left], ids[left], ranks[left], at[left], best[left]
                 if not len(who):
                     return out
             # delete the boundary after part `at`: later parts move one place to the left
-            row, place = np.arange(len(who)), np.arange(n - 1)
-            take = place + (place > at[:, None])
-            ids = np.take_along_axis(ids, take, 1)
+            row, keep = np.arange(len(who)), np.ones((len(who), n), bool)
+            keep[row, at + 1] = False
+            ids = ids[keep].reshape(len(who), n - 1)
             ids[row, at] = self.merge_of[best]
-            ranks = np.take_along_axis(ranks, take[:, : n - 2] if n > 2 else take[:, :0], 1)
+            keep[row, at + 1], keep[row, at] = True, False
+            ranks = ranks[keep[:, : n - 1]].reshape(len(who), n - 2)
             n -= 1
             if n > 1:  # only the two neighbours' ranks change
-                if (left := at > 0).any():
-                    r, a = row[left], at[left]
-                    ranks[r, a - 1] = self.rank(ids[r, a - 1], ids[r, a])
-                if (right := at < n - 1).any():
-                    r, a = row[right], at[right]
-                    ranks[r, a] = self.rank(ids[r, a], ids[r, a + 1])
+                left = np.flatnonzero(at > 0)
+                right = np.flatnonzero(at < n - 1)
+                r, a = np.r_[left, right], np.r_[at[left] - 1, at[right]]
+                ranks[r, a] = self.rank(ids[r, a], ids[r, a + 1])
         for i, row in zip(who.tolist(), ids.tolist()):
             out[i] = tuple(row)
         return out
@@ -160,11 +168,12 @@ class Bpe:
         for text in texts:
             spans = cut.split(text) if cut and any(s in text for s in self.special) else [text]
             parts.append([[s] if i % 2 else pieces(s) for i, s in enumerate(spans) if s])
-        missing = {p for spans in parts for span in spans for p in span} - cache.keys() - self.special.keys()
+        needed = set().union(*(span for spans in parts for span in spans)) - self.special.keys()
+        missing = needed - cache.keys()
         if missing:
             if len(cache) + len(missing) > CACHE:
                 cache.clear()
-                missing = {p for spans in parts for span in spans for p in span} - self.special.keys()
+                missing = needed
             cut_up = {p: self.words(p) for p in missing}
             cache.update(self.encode_words({w for words in cut_up.values() for w in words} - cache.keys()))
             cache.update((p, tuple(chain.from_iterable(map(cache.__getitem__, w)))) for p, w in cut_up.items() if len(w) > 1)
@@ -180,6 +189,38 @@ class Bpe:
             out.append(held)
         return out
 
+    def _raw(self, pieces_: list[str]) -> list[bytes]:
+        """Ids of distinct pieces as bytes of self.kind."""
+        cut_up = [self.words(p) for p in pieces_]
+        ids = self.encode_words({w for words in cut_up for w in words})
+        lists = [ids[w[0]] if len(w) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, w))) for w in cut_up]
+        raw, wide = np.fromiter(chain.from_iterable(lists), self.kind).tobytes(), self.kind.itemsize
+        ends = np.cumsum([len(x) * wide for x in lists]).tolist() if lists else []
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+    def encode_array(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of an Arrow array without nulls: distinct pieces are encoded once, and gathered."""
+        cut = Cut(texts, list(self.special))
+        out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
+        odd = np.flatnonzero(~cut.plain).tolist()
+        for i, ids in zip(odd, self.encode_batch([texts[i].as_py() for i in odd])):
+            out[i] = np.array(ids, self.kind)
+        if cut.plain.any():
+            raws = cut.entries(self.spaced, self.bare)
+            size = np.array(list(map(len, raws)), np.int32) // self.kind.itemsize
+            flat, start = np.frombuffer(b"".join(raws), self.kind), np.cumsum(size) - size
+            bounds, where, i = cut.bounds, np.flatnonzero(cut.plain).tolist(), 0
+            while i < len(where):  # some texts at a time
+                j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + GATHER, side="right")) - 1)
+                mine = cut.index[bounds[i] : bounds[j]]
+                n = size[mine]
+                ends = np.cumsum(n, dtype=np.int64)
+                ids = flat[np.repeat(start[mine] - (ends - n), n) + np.arange(int(ends[-1]))]
+                for k, part in zip(where[i:j], np.split(ids, np.r_[0, ends][bounds[i + 1 : j] - bounds[i]])):
+                    out[k] = part
+                i = j
+        return out
+
     def decode(self, ids: Iterable[int]) -> str:
         """Text of ids: their bytes joined and read as UTF-8, with U+FFFD for what isn't."""
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -191,14 +232,20 @@ def loaded(path: str) -> Bpe:
     return Bpe(path)
 
 
+def lists(bpe: Bpe, texts: pa.Array) -> pa.Array:
+    """Ids of each text as an Arrow list array; null counts as empty."""
+    ids = bpe.encode_array(pc.fill_null(texts, ""))
+    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)))
+
+
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row; null text counts as empty and gives no ids. Other columns of df are not looked at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
-        for batch in slices(batches, "text"):
-            ids = bpe.encode_batch([x or "" for x in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+        for batch in slices(batches, "text", SLICE):
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists(bpe, batch.column("text"))], ["id", "ids"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -211,9 +258,9 @@ def encoded(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         bpe, out = loaded(vocabulary), []
-        for batch in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text"):
-            out += bpe.encode_batch([x or "" for x in batch.column("text").to_pylist()])
-        return pa.array(out, pa.list_(pa.int32()))
+        for batch in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", SLICE):
+            out.append(lists(bpe, batch.column("text")))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return df.withColumn("ids", ids(F.col(f"`{text_col}`").cast("string")))
 
@@ -242,15 +289,15 @@ def round_trip(df: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
         sha, names = hashlib.sha256, bpe.names
-        for batch in slices(batches, "text"):
-            ids = bpe.encode_batch([x or "" for x in batch.column("text").to_pylist()])
+        for batch in slices(batches, "text", SLICE):
+            n, of_ids, of_text = [], [], []
+            for found in bpe.encode_array(pc.fill_null(batch.column("text"), "")):
+                ids = found.tolist()
+                n.append(len(ids))
+                of_ids.append(sha(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                of_text.append(sha(bpe.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([sha(",".join(map(names.__getitem__, x)).encode()).hexdigest() for x in ids], pa.string()),
-                    pa.array([sha(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
-                ],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .pieces import pieces
+from .pieces import Cut, Known
 
 CHUNK, OVERLAP, MARGIN = 16_384, 128, 32
-CACHE = 600_000
+CACHE, SLICE = 400_000, 16 << 20
 
 
 def boundaries(encoding, shift: int, low: int, high: int) -> dict[int, int]:
@@ -60,7 +60,8 @@ class Counter:
         self.special = [x.content for x in self.of.get_added_tokens_decoder().values()]
         self.chunk, self.overlap, self.widened = chunk, overlap, 0
         self.margin = max([MARGIN, *(2 * len(x) for x in self.special)])
-        self.cache: dict[str, int] = {}
+        self.spaced = Known(lambda words: ((p[1:], n) for p, n in self._each([" " + w for w in words])), CACHE)
+        self.bare = Known(self._each, CACHE)
 
     def spliced(self, text: str) -> int:
         """Tokens of a huge text from overlapping chunks."""
@@ -89,25 +90,27 @@ class Counter:
             left, start, end, skip = right, begin, stop, place[1]
         return total + len(left) - skip
 
-    def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text."""
-        cache = self.cache
-        cut = [None if len(t) > self.chunk else [t] if any(s in t for s in self.special) else pieces(t) for t in texts]
-        needed = {p for x in cut if x for p in x}
-        new = needed - cache.keys()
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-        else:
-            needed = new
-        # a sign after letters starts a pre-token of its own, so it counts by itself
-        signed = {p: p[:-1] for p in needed if p[-1:] in (",", ".") and p[:-1].strip(" ").isalpha()}
-        missing = list(({signed.get(p, p) for p in needed} | {",", "."}) - cache.keys())
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            cache.update(zip(some, map(len, self.of.encode_batch_fast(some, add_special_tokens=False))))
-        cache.update((p, cache[word] + cache[p[-1]]) for p, word in signed.items())
-        of = cache.__getitem__
-        return [self.spliced(t) if x is None else sum(map(of, x)) for t, x in zip(texts, cut)]
+    def _each(self, strings: list[str]) -> Iterator[tuple[str, int]]:
+        for i in range(0, len(strings), 4096):
+            some = strings[i : i + 4096]
+            yield from zip(some, map(len, self.of.encode_batch_fast(some, add_special_tokens=False)))
+
+    def count(self, texts: list[str] | pa.Array) -> np.ndarray:
+        """Tokens of each text: of huge ones by splicing, of others piece by piece, as a piece starts a pre-token."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        out = np.zeros(len(texts), np.int64)
+        huge = pc.greater(pc.utf8_length(texts), self.chunk).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(huge).tolist():
+            out[i] = self.spliced(texts[i].as_py())
+        small = np.flatnonzero(~huge)
+        cut = Cut(texts.take(pa.array(small)), self.special)
+        odd = small[~cut.plain].tolist()
+        if odd:
+            out[odd] = [len(e) for e in self.of.encode_batch_fast([texts[i].as_py() for i in odd], add_special_tokens=False)]
+        if cut.plain.any():
+            n = np.array(cut.entries(self.spaced, self.bare), np.int64)
+            out[small[cut.plain]] = np.add.reduceat(n[cut.index], cut.bounds[:-1])
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -128,8 +131,8 @@ def count_tokens(df: DataFrame, vocabulary: str, limit: int = 1024) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(vocabulary)
-        for batch in slices(batches, "text"):
-            n = np.array(counter.count([x or "" for x in batch.column("text").to_pylist()]), np.int64)
+        for batch in slices(batches, "text", SLICE):
+            n = counter.count(pc.fill_null(batch.column("text"), ""))
             size = pc.cast(pc.fill_null(pc.binary_length(batch.column("text")), 0), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
