@@ -72,6 +72,36 @@ QUERIES = {
     "op10_cover_tree": op10_cover_tree,
 }
 
+#: Components by reachability: every node with all it reaches, then the least.
+_REACH = "reach(x, root) AS (SELECT x, x FROM nodes UNION SELECT l.x, r.root FROM reach r JOIN links l ON l.y = r.x), comp AS (SELECT x, min(root) AS root FROM reach GROUP BY x)"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+NEAR_TEXTS = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id AS x, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^ 	-]+') AS w FROM documents
+), sets AS (
+  SELECT x, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), nodes AS (SELECT x FROM sets
+), items AS MATERIALIZED (SELECT x, len(s) AS n, unnest(s) AS i FROM sets
+), links AS MATERIALIZED (
+  SELECT a.x, b.x AS y FROM items a JOIN items b ON a.i = b.i AND a.x <> b.x GROUP BY a.x, b.x, a.n, b.n
+  HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), {_REACH}
+SELECT sets.x AS doc_id, len(s)::BIGINT AS n_shingles, root AS component_id, root = sets.x AS kept FROM sets JOIN comp USING (x)
+"""
+
+NEAR_VECTORS = f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS x, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (SELECT x, e FROM nodes WHERE len(e) > 0 AND len(list_filter(e, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(e, lambda c: c <> 0)) > 0
+), links AS MATERIALIZED (SELECT a.x, b.x AS y FROM good a JOIN good b ON a.x <> b.x AND list_cosine_similarity(a.e, b.e) >= 0.95
+), {_REACH.replace('SELECT x, x FROM nodes', 'SELECT x, x FROM (SELECT x FROM nodes)')}
+SELECT x AS vec_id, coalesce(n, 0)::BIGINT AS n_links, root AS component_id, root = x AS kept
+FROM comp LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) USING (x)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_mixing": mixing.ORACLE,
+    "op9_minhash": NEAR_TEXTS,
+    "op10_cover_tree": NEAR_VECTORS,
 }
