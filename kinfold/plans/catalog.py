@@ -105,6 +105,7 @@ register("s01_tsv_scan", lambda spark, d: io.read_tsv(spark, _tsv(spark, d)), o.
 register("s02_load_normalized", lambda spark, d: io.load_normalized(spark, _tsv(spark, d)), o.sql("SELECT entity_id, country, name_n, addr_n, block_text FROM norm", "norm"))
 register("s03_index_scan", lambda spark, d: io.read_index(spark, [_tsv(spark, d, "source = 'S2'"), _tsv(spark, d, "source = 'S3'")]), o.sql(f"SELECT {', '.join(_RECORDS)}, source FROM records WHERE source <> 'S1'", "records"))
 register("s05_checkpoint", lambda spark, d: io.checkpoint(fx.records(spark, d).select("country", *_RECORDS[:3]), scratch(spark, "checkpoint"), ["country"]).select("entity_id", "country"), o.sql("SELECT entity_id, country FROM records", "records"))
+register("s06_column_pruned_read", lambda spark, d: fx.normalized(spark, d).select("entity_id", "addr_n"), o.sql("SELECT entity_id, addr_n FROM norm", "norm"))
 
 
 def _truth_lists(spark: SparkSession, d: str) -> DataFrame:

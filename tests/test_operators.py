@@ -93,7 +93,7 @@ def test_empty_sides_give_nothing(spark):
     assert blocking.block(none, none).count() == 0
 
 
-def test_features_and_model(spark):
+def test_features_and_model(spark, tmp_path):
     n = fx.normalized(spark, SF)
     full = features.make_features(fx.candidates(spark, SF), n.where("source = 'S1'"), n.where("source <> 'S1'"))
     assert full.columns[2:] == features.ALL and len(features.ALL) == 46 and len(features.BASE) == 31
@@ -102,6 +102,9 @@ def test_features_and_model(spark):
     scored = model.score(fitted, full)
     assert scored.count() == full.count() and scored.where("prob < 0 or prob > 1 or prob is null").count() == 0
     assert len(model.importances(fitted)) == 15
+    model.save(fitted, f"{tmp_path}/model")
+    again = {(r.s1_id, r.cand_id): r.prob for r in model.score(model.load(f"{tmp_path}/model"), full).collect()}
+    assert again == {(r.s1_id, r.cand_id): r.prob for r in scored.collect()}
 
 
 def test_context_is_of_the_full_candidate_set(spark):
@@ -115,3 +118,9 @@ def test_context_is_of_the_full_candidate_set(spark):
 def test_sweep_has_all_settings(spark):
     found = catalog.QUERIES["e06_calibration_sweep"](spark, SF)
     assert found.count() == 18 and metrics.best_setting(found).count() == 1
+
+
+def test_split_paths():
+    assert io.split_path("/d", "train", 2) == "/d/train/train_source2.tsv"
+    with pytest.raises(ValueError):
+        io.split_path("/d", "dev", 1)
