@@ -31,6 +31,8 @@ WORDS = 5
 K, BANDS, ROWS, BITS = 128, 24, 4, 4
 BLOCK = 256
 SURE = 6.0
+#: Shares that the copies of one text are dealt into.
+SALTS = 64
 SIGNATURE = "doc long, n long, fp1 long, fp2 long, sig binary, bands array<long>"
 
 
@@ -324,9 +326,12 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     threshold = percent / 100
     table = materialize(signatures(df, id_col, text_col, words), "signatures")
     known = table.where("n > 0 and doc is not null")
-    # equal sets: one representative each
-    classes = known.groupBy("fp1", "fp2", "n").agg(F.min("doc").alias("rep"))
-    member = known.select("doc", "fp1", "fp2", "n").join(classes.hint("merge"), ["fp1", "fp2", "n"]).where("doc <> rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    # equal sets: one representative each, by way of one for each of SALTS shares of the copies
+    salted = known.select("doc", "fp1", "fp2", "n", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).alias("salt"))
+    parts = salted.groupBy("fp1", "fp2", "n", "salt").agg(F.min("doc").alias("part"))
+    classes = parts.groupBy("fp1", "fp2", "n").agg(F.min("part").alias("rep"))
+    copies = salted.join(parts.hint("merge"), ["fp1", "fp2", "n", "salt"]).where("doc <> part").select(F.col("doc").alias("a"), F.col("part").alias("b"))
+    member = copies.unionByName(parts.join(classes.hint("merge"), ["fp1", "fp2", "n"]).where("part <> rep").select(F.col("part").alias("a"), F.col("rep").alias("b")))
     reps = materialize(known.join(classes.select(F.col("rep").alias("doc"), "fp1", "fp2", "n"), ["doc", "fp1", "fp2", "n"], "left_semi").dropDuplicates(["doc", "fp1", "fp2"]), "representatives")
     # signatures follow only where a bucket has two members, and texts only where a cluster has
     shared = deal(reps.select(F.explode("bands").alias("key"), "doc"), "key")
