@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import bpe, langid, minhash, mixing, suffix_dedup
-from kinfold.llm.common import materialize, table
+from kinfold.llm.common import FEW, MANY, batch_rows, materialize, table
 
 #: Texts whose cosine with the nearest language is lower are taken for no language at all. Even single words in a
 #: learnt language lie above it.
@@ -24,6 +24,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a learnt language; those without letters or like none of the languages go."""
+    batch_rows(spark, FEW)
     columns = docs.columns
     model = langid.fit(langid.held_out(docs).where(~F.col("held_out")))
     told = langid.predict(docs, model, keep=tuple(columns))
@@ -32,12 +33,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates."""
+    batch_rows(spark, FEW)
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut from each text the strings of 50 bytes that a document with a smaller id has."""
+    batch_rows(spark, FEW)
     return suffix_dedup.deduplicated(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -48,6 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add each document's ids, their number, and its place in the mixture: file and row of what mixing wrote."""
+    batch_rows(spark, MANY)
     try:
         placed = docs.withColumn("mix_file", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")).withColumn("mix_row", F.col("_metadata.row_index"))
     except AnalysisException:  # docs don't come from files

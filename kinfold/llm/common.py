@@ -33,6 +33,15 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/kinfold/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch: few where whole rows pass through Python with large arrays beside them, else Spark's own number.
+BATCH, FEW, MANY = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000, 10_000
+
+
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """Set how many rows of documents executors hold in an Arrow batch, from the next execution on."""
+    spark.conf.set(BATCH, str(rows))
+
+
 #: Whether an execution's shuffle files go when it ends, rather than when the driver happens to collect garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -52,6 +61,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return session.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Drop a table that materialize() has written, once nothing reads it any more."""
+    session = df.sparkSession
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        if "/kinfold/" in path:
+            where = session._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(session._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches again, cut so that each holds about limit bytes of the column (one row at least)."""
     for batch in batches:

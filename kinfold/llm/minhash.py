@@ -30,6 +30,8 @@ from .components import components
 WORDS = 5
 K, BANDS, ROWS, BITS = 128, 24, 4, 4
 BLOCK = 256
+#: Bytes of text that are hashed at a time; they take some fifty times that.
+SLICE = 2 << 20
 SURE = 6.0
 #: Shares that the copies of one text are dealt into.
 SALTS = 64
@@ -146,7 +148,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, words: int = WORDS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = constants()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", SLICE):
             sets = shingle_sets(batch.column("text").to_pylist(), words)
             n = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(n)
@@ -307,7 +309,7 @@ def sets_of(df: DataFrame, words: int = WORDS) -> DataFrame:
     keep = ["cluster", "doc", "parts", "blk"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", SLICE):
             sets = [s.tobytes() for s in shingle_sets(batch.column("text").to_pylist(), words)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sets, pa.binary())], [*keep, "set"])
 

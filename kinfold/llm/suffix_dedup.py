@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 
 LENGTH, GRAM = 50, 16
-SLICE = 6 << 20
+SLICE = 4 << 20
 #: Windows are keyed in stretches of so many bytes, to stay in the cache; longer texts are cut with an overlap.
 STRETCH = 256 << 10
 BUCKET_BYTES = 12 << 20
 #: Bytes shipped for a byte of text, about: LENGTH - 1 bytes more for each row of windows.
 SPREAD = 3.7
-BATCH = 1 << 16
+#: Windows of a batch, and of the keys that share an index family.
+BATCH, FAMILY = 1 << 16, 1 << 18
 LOCALLY_FREQUENT = 8
 MOST_FREQUENT = 1 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -231,6 +232,7 @@ def shares(source: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
                 found.append((text, pos, size, (key % np.uint64(buckets)).astype(np.int64), ids[by] < ids[text]))
             if not found:
                 continue
+            del seen
             text, pos, size, to, done = map(np.concatenate, zip(*found))
             settled = _merge(text[done], pos[done], pos[done] + size[done])
             spread = (settled[0] * 7919 + settled[1]) % buckets
@@ -317,29 +319,35 @@ def repeats(body: np.ndarray, who: np.ndarray, pos: np.ndarray, at: np.ndarray,
     new = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     doc = ids[who][order]
     spread = np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)
-    use = np.sort(order[np.repeat(spread, np.diff(np.r_[new, len(order)]))])
-    family = IndexFamily()
+    use = order[np.repeat(spread, np.diff(np.r_[new, len(order)]))]
+    # strings of one key lie together; some keys at a time have an index family of their own, as keys never meet
+    begins = np.flatnonzero(np.r_[True, key[use][1:] != key[use][:-1]]) if len(use) else np.zeros(0, np.int64)
     # owners are numbered by id, so that comparing numbers compares documents
     _, rank = np.unique(ids, return_inverse=True)
-    owners = who[use]
-    n = size[use] - LENGTH + 1
-    i = 0
+    owners, n = who[use], size[use] - LENGTH + 1
     ends = np.cumsum(n)
     suffixes = np.ndarray((max(0, len(body) - LENGTH + 1),), f"S{LENGTH}", buffer=body, strides=(1,)) if len(body) >= LENGTH else None
-    while i < len(use):
-        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BATCH, side="right")))
-        m = n[i:j]
-        step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-        where = np.repeat(at[use[i:j]], m) + step
-        place = np.repeat(np.arange(i, j), m) << 32 | step
-        family.add(suffixes[where], np.repeat(rank[owners[i:j]], m), place)
-        i = j
-    if not family.gone:
-        return None
-    place = np.concatenate([p for _, p in family.gone])
-    row = place >> 32
-    start = pos[use][row] + (place & 0xFFFFFFFF)
-    return owners[row], start, start + LENGTH
+    found, g = [], 0
+    while g < len(begins):
+        i = int(begins[g])
+        base = int(ends[i - 1]) if i else 0
+        g = max(g + 1, int(np.searchsorted(ends[begins[1:] - 1], base + FAMILY, side="right")) + 1) if len(begins) > 1 else g + 1
+        last = int(begins[g]) if g < len(begins) else len(use)
+        family = IndexFamily()
+        while i < last:
+            j = min(last, max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BATCH, side="right"))))
+            m = n[i:j]
+            step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            where = np.repeat(at[use[i:j]], m) + step
+            place = np.repeat(np.arange(i, j), m) << 32 | step
+            family.add(suffixes[where], np.repeat(rank[owners[i:j]], m), place)
+            i = j
+        if family.gone:
+            place = np.concatenate([p for _, p in family.gone])
+            row = place >> 32
+            start = pos[use][row] + (place & 0xFFFFFFFF)
+            found.append(_merge(owners[row], start, start + LENGTH))
+    return tuple(map(np.concatenate, zip(*found))) if found else None
 
 
 def spans(dealt: DataFrame, frequent: np.ndarray) -> DataFrame:
