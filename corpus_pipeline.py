@@ -18,6 +18,10 @@ from kinfold.llm.common import FEW, MANY, batch_rows, materialize, table
 #: learnt language lie above it.
 LEAST_COSINE = 0.05
 
+#: Documents of which that many percent of their shingles are shared are near duplicates. The 85 of op9_minhash is that
+#: query's own.
+NEAR_PERCENT = 80
+
 #: The language model and the near-duplicate search have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
@@ -32,9 +36,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates."""
+    """Keep the document with the smallest id of each group of near duplicates (five-word shingles, similarity 0.8)."""
     batch_rows(spark, FEW)
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    gone = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -1,5 +1,8 @@
 """Each stage on its own input against a plain version, and the whole run."""
 
+import random
+from itertools import combinations
+
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -49,3 +52,33 @@ def test_empty_table(spark):
     for name, stage in P.STAGES:
         now = materialize(stage(spark, now, SF), name)
     assert now.count() == 0
+
+
+def test_near_dedup_keeps_what_brute_force_keeps_at_080(spark):
+    r = random.Random(8)
+    texts = []
+    for _ in range(30):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randint(60, 140))]
+        texts.append(" ".join(words))
+        for edits in (1, 2, 3):
+            near = list(words)
+            for at in r.sample(range(len(near)), edits):
+                near[at] = f"n{r.randrange(5000)}"
+            texts.append(" ".join(near))
+    r.shuffle(texts)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in enumerate(t.split() for t in texts)}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sets, 2)}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, b), s in share.items():
+        if s >= 0.8:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    assert sum(0.8 <= s < 0.85 for s in share.values()) > 5
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id for x in P.near_dedup(spark, docs, SF).collect()} == {i for i in sets if find(i) == i}
