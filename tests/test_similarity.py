@@ -1,11 +1,14 @@
 import math
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinfold.functions import similarity as sim
+from kinfold.plans import catalog
+from kinfold.plans import fixtures as fx
 
 
 def slow_lcs(a, b):
@@ -69,3 +72,31 @@ def test_sets_and_numbers(spark):
     assert [(r.p, r.h) for r in rows] == [("400601", 12), ("400601", 9), (None, None), (None, 7)]
     sets = spark.createDataFrame([([], ["a"]), (["a", "b"], ["b", "c"])], "x array<string>, y array<string>")
     assert [r.j for r in sets.select(sim.jaccard(F.col("x"), F.col("y")).alias("j")).collect()] == [-1.0, 1 / 3]
+
+
+def slow_token_sort(a, b):
+    return slow_ratio(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def slow_token_set(a, b):
+    s, t = set(a.split()), set(b.split())
+    if not s or not t:
+        return 0.0
+    shared, one, two = (sorted(x) for x in (s & t, s - t, t - s))
+    if shared and (not one or not two):
+        return 100.0
+    base, one, two = " ".join(shared), " ".join(shared + one), " ".join(shared + two)
+    return max(slow_ratio(one, two), *([slow_ratio(base, one), slow_ratio(base, two)] if shared else [0.0]))
+
+
+WHOLE = {"f01_ratio_whole": slow_ratio, "f02_token_sort_whole": slow_token_sort, "f03_token_set_whole": slow_token_set, "f04_partial_whole": slow_partial}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_ratio_queries_take_whole_names_of_all_pairs(spark, name):
+    sf = "/root/testdata/sf0.001"
+    names = {r.entity_id: r.name_n for r in fx.normalized(spark, sf).collect()}
+    pairs = [(r.s1_id, r.cand_id) for r in fx.candidates(spark, sf).collect()]
+    got = {(r.s1_id, r.cand_id): r.ratio for r in catalog.QUERIES[name](spark, sf).collect()}
+    assert len(pairs) == len(got) and max(len(names[c]) for _, c in pairs) > 24
+    assert all(math.isclose(got[s, c], WHOLE[name](names[s], names[c]), abs_tol=1e-6) for s, c in pairs)
