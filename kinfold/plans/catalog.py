@@ -494,8 +494,12 @@ def _labelled(spark: SparkSession, d: str) -> DataFrame:
 register("m06_labelled", lambda spark, d: _labelled(spark, d).select("s1_id", "cand_id", "is_val", F.col("label").cast("int").alias("label")), o.sql("SELECT s1_id, cand_id, pos % 20 = 0 AS is_val, (t.s IS NOT NULL)::INT AS label FROM cand JOIN s1 USING (s1_id) LEFT JOIN (SELECT s1_id, cand_id, s1_id AS s FROM truth) t USING (s1_id, cand_id) WHERE pos % 20 < 3", "cand", "s1", "truth"))
 
 
+#: The reference's limit of rounds; the validation rows stop the boosting before.
+ROUNDS = 1000
+
+
 def _trained(spark: SparkSession, d: str):
-    return model.train(_labelled(spark, d), rounds=5, depth=3, least=5)
+    return model.train(_labelled(spark, d), rounds=ROUNDS)
 
 
 register("m01_train_and_score", lambda spark, d: model.score(_trained(spark, d), fx.featured(spark, d)))

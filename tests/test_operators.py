@@ -124,3 +124,10 @@ def test_split_paths():
     assert io.split_path("/d", "train", 2) == "/d/train/train_source2.tsv"
     with pytest.raises(ValueError):
         io.split_path("/d", "dev", 1)
+
+
+def test_model_queries_train_with_production_parameters(spark):
+    fitted = catalog._trained(spark, "/root/testdata/sf0.01").stages[-1]
+    assert (fitted.getMaxIter(), fitted.getMaxDepth(), fitted.getMinInstancesPerNode()) == (1000, 6, 50)
+    assert 5 < fitted.getNumTrees < 1000  # the validation rows stop the boosting
+    assert max(t.depth for t in fitted.trees) > 3
