@@ -50,7 +50,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Order all documents by the mixture's schedule, file by file and row by row."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.mixed(docs, period=None).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,6 +5,11 @@ slot floor((k-1)/w) and due by the end of slot ceil(k/w). In every slot the rele
 runs (ties: source order). With integer weights that add up to the period Q, all deadlines are met, so up to any time
 t each source has had more than w*t - 1 and fewer than w*t + 1 blocks. The schedule repeats after Q slots, so one
 period is folded by an array aggregate over a one-row table, and blocks look their slots up in it.
+
+A period deals weights in whole slots, one of them to each source: that is the schedule of op3_mixing and its SQL, and
+its shares drift from the target weights as time runs. Without a period (None) weights are whole numbers that add up to
+GRAIN, and the whole run is folded, up to the slot at which the first source runs out: until then each source is less
+than one block from its target weight (and GRAIN's error, under 1e-10 of the slots passed).
 """
 
 from __future__ import annotations
@@ -16,10 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import materialize
+
 #: Slots of a period: the grain of weights. It bounds the schedule table, which alone is broadcast.
 PERIOD = 1000
 #: Sources are components of a mixture; more than so many are refused, as each needs a slot of the period.
 MAX_SOURCES = 500
+#: Sum of the weights of a schedule without a period. Blocks of a source times GRAIN must fit 63 bits.
+GRAIN = 10**10
 BLOCK_ROWS = 4
 TEMPER = 0.7
 BUCKET_ROWS = 256
@@ -30,8 +39,8 @@ def source_key(c: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("null"))
 
 
-def weights_of(counts: DataFrame, targets: Mapping[str, float] | None, temper: float, period: int) -> DataFrame:
-    """One row per source: key, i (0..), q = slots of the period, at least 1, adding up to period (largest remainders).
+def weights_of(counts: DataFrame, targets: Mapping[str, float] | None, temper: float, period: int, own: int = 1) -> DataFrame:
+    """One row per source: key, i (0..), q = slots of the period, at least own, adding up to period (largest remainders).
 
     targets gives weights by source; where None, the weight is the source's share of rows to the power temper.
     """
@@ -42,15 +51,15 @@ def weights_of(counts: DataFrame, targets: Mapping[str, float] | None, temper: f
         raw = counts.withColumn("w", F.coalesce(F.try_element_at(table, F.col("key")), F.lit(0.0)))
     whole = Window.partitionBy(F.lit(0))
     by_key, by_rest = whole.orderBy("key"), whole.orderBy(F.desc("rest"), "key")
-    # one slot is each source's own; the others are dealt by weight
+    # own slots (one) are each source's; the others are dealt by weight
     return (
         raw.withColumn("i", (F.row_number().over(by_key) - 1).cast("long"))
         .withColumn("sources", F.count("*").over(whole))
-        .withColumn("share", F.round(F.col("w") / F.sum("w").over(whole) * (F.lit(period) - F.col("sources")), 9))
+        .withColumn("share", F.round(F.col("w") / F.sum("w").over(whole) * (F.lit(period) - own * F.col("sources")), 9))
         .withColumn("base", F.floor("share"))
         .withColumn("rest", F.round(F.col("share") - F.col("base"), 9))
-        .withColumn("left", F.lit(period) - F.col("sources") - F.sum("base").over(whole))
-        .withColumn("q", (1 + F.col("base") + F.when(F.row_number().over(by_rest) <= F.col("left"), 1).otherwise(0)).cast("long"))
+        .withColumn("left", F.lit(period) - own * F.col("sources") - F.sum("base").over(whole))
+        .withColumn("q", (own + F.col("base") + F.when(F.row_number().over(by_rest) <= F.col("left"), 1).otherwise(0)).cast("long"))
         .select("key", "n", "i", "q")
     )
 
@@ -75,6 +84,54 @@ def schedule(weights: DataFrame, period: int) -> DataFrame:
     return weights.join(slots, "i").select("key", "n", "q", "slots")
 
 
+#: Folds one slot: the earliest deadline among released blocks, as block * 1024 + source.
+_SLOT = """aggregate(sequence(c * size, c * size + size - 1), struct(state.had AS had, cast(array() AS array<bigint>) AS picks), (s, t) ->
+  transform(array(cast(array_min(transform(s.had, (h, i) -> CASE WHEN qs[i] > 0 AND h * total div qs[i] <= t
+    THEN ((h + 1) * total + qs[i] - 1) div qs[i] * 1024 + i END)) % 1024 AS int)), p ->
+    struct(transform(s.had, (h, i) -> CASE WHEN i = p THEN h + 1 ELSE h END) AS had, concat(s.picks, array(s.had[p] * 1024 + p)) AS picks))[0])"""
+#: Folds the run in chunks of about the square root of its slots, so that no long list is copied slot by slot.
+_RUN = f"""aggregate(sequence(0L, (slots - 1) div size), struct(transform(qs, q -> 0L) AS had, cast(array() AS array<array<bigint>>) AS chunks), (state, c) ->
+  transform(array({_SLOT}), x -> struct(x.had AS had, concat(state.chunks, array(x.picks)) AS chunks))[0], state -> state.chunks)"""
+
+
+def whole_schedule(weights: DataFrame, block_rows: int) -> DataFrame:
+    """i, block, slot of every block up to the first that a source doesn't have, by earliest deadline first.
+
+    weights has one row per source: key, n, i and q, and q is 0 where a source has no place in the mixture.
+    """
+    one = weights.groupBy().agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("qs"),
+        F.sum("q").alias("total"),
+        F.min(F.expr(f"CASE WHEN q > 0 THEN (((n + {block_rows - 1}) div {block_rows} + 1) * {GRAIN} + q - 1) div q END")).alias("slots"),
+    )
+    one = one.where("slots is not null").withColumn("size", F.ceil(F.sqrt("slots")).cast("long"))
+    chunks = one.select("size", F.expr(_RUN).alias("chunks")).select("size", F.posexplode("chunks").alias("c", "picks"))
+    return chunks.select((F.col("c") * F.col("size")).alias("first"), F.posexplode("picks").alias("at", "pick")).selectExpr("pick % 1024 AS i", "pick div 1024 AS block", "first + at AS slot")
+
+
+def _placed(rows: DataFrame, weights: DataFrame, block_rows: int) -> DataFrame:
+    """rows (key, source_pos, ...) with block, slot_release, slot_due, slot and in_mix of the schedule without a period.
+
+    Past the slot at which the first source runs out, blocks follow by deadline, each with a slot of its own; sources of
+    weight 0 come last, with neither release nor deadline.
+    """
+    slots = materialize(whole_schedule(weights, block_rows), "mix_slots")
+    blocks = weights.withColumn("blocks", F.expr(f"(n + {block_rows - 1}) div {block_rows}"))
+    dry = slots.join(F.broadcast(blocks.select("i", F.col("blocks").alias("block"))), ["i", "block"]).agg(F.min("slot").alias("dry"))
+    whole = blocks.groupBy().agg(F.sum("q").alias("total"), F.count("*").alias("sources"), F.max(F.expr(f"CASE WHEN q > 0 THEN (blocks * {GRAIN} + q - 1) div q END")).alias("last"))
+    plan = blocks.select("key", "i", "q").crossJoin(F.broadcast(dry)).crossJoin(F.broadcast(whole))
+    late = F.expr("CASE WHEN q > 0 THEN dry + (slot_due - dry - 1) * sources + i ELSE coalesce(dry + greatest(last - dry, 0) * sources, 0) + block * sources + i END")
+    return (
+        rows.withColumn("block", F.expr(f"(source_pos - 1) div {block_rows}"))
+        .join(F.broadcast(plan), "key")
+        .join(slots.withColumnRenamed("slot", "held"), ["i", "block"], "left")
+        .withColumn("slot_release", F.expr("CASE WHEN q > 0 THEN block * total div q END"))
+        .withColumn("slot_due", F.expr("CASE WHEN q > 0 THEN ((block + 1) * total + q - 1) div q END"))
+        .withColumn("in_mix", F.coalesce(F.col("held") < F.col("dry"), F.lit(False)))
+        .withColumn("slot", F.when(F.col("in_mix"), F.col("held")).otherwise(late).cast("long"))
+    )
+
+
 def mix(
     df: DataFrame,
     targets: Mapping[str, float] | None = None,
@@ -83,7 +140,7 @@ def mix(
     source_col: str = "source",
     block_rows: int = BLOCK_ROWS,
     temper: float = TEMPER,
-    period: int = PERIOD,
+    period: int | None = PERIOD,
     carry: bool = False,
 ) -> DataFrame:
     """Place every row in the mixture: id, source, source_pos, block, slot_release, slot_due, slot, pos_in_block, in_mix.
@@ -96,6 +153,8 @@ def mix(
 
     A hot source is dealt over buckets of about BUCKET_ROWS rows by a prefix of the md5, each numbered by itself and
     moved on by the counts of the buckets before it, so no task gets a source as a whole.
+
+    With a period of None the shares follow the weights themselves over the whole run; see the module and _placed.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), source_key(F.col(source_col)).alias("key"), F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit("g")).alias("h"), *([F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")] if carry else []))
     buckets = max(1, df.select(F.lit(1)).count() // BUCKET_ROWS)
@@ -106,12 +165,16 @@ def mix(
     counts = per.groupBy("key").agg(F.sum("m").alias("n"))
     if (found := counts.limit(MAX_SOURCES + 1).count()) > MAX_SOURCES:
         raise ValueError(f"over {MAX_SOURCES} sources ({found} or more): give components of a mixture")
+    local = Window.partitionBy("key", "bucket").orderBy("h", F.asc_nulls_last("id"))
+    if period is None:
+        numbered = rows.withColumn("rn", F.row_number().over(local)).join(before, ["key", "bucket"]).withColumn("source_pos", (F.col("before") + F.col("rn")).cast("long"))
+        placed = _placed(numbered, weights_of(counts, targets, temper, GRAIN, own=0), block_rows)
+        return placed.select(F.col("id").alias(id_col), "source", "source_pos", "block", "slot_release", "slot_due", "slot", ((F.col("source_pos") - 1) % block_rows).cast("long").alias("pos_in_block"), "in_mix", *(["row"] if carry else []))
     plan = schedule(weights_of(counts, targets, temper, period), period)
     # the first slot of any source that has no block left for it: from there on shares can't be held
     blocks = F.ceil(F.col("n") / F.lit(block_rows))
     dry = F.floor(blocks / F.col("q")) * period + F.get(F.col("slots"), (blocks % F.col("q")).cast("int"))
     plan = plan.crossJoin(F.broadcast(plan.agg(F.min(dry).alias("dry"))))
-    local = Window.partitionBy("key", "bucket").orderBy("h", F.asc_nulls_last("id"))
     k = F.floor((F.col("source_pos") - 1) / F.lit(block_rows))
     return (
         rows.withColumn("rn", F.row_number().over(local))
@@ -135,9 +198,9 @@ def mix(
     )
 
 
-def mixed(df: DataFrame, targets: Mapping[str, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mixed(df: DataFrame, targets: Mapping[str, float] | None = None, *, id_col: str = "doc_id", source_col: str = "source", period: int | None = PERIOD) -> DataFrame:
     """The rows of df in mixture order: partitions and the rows in them follow (slot, pos_in_block)."""
-    placed = mix(df, targets, id_col=id_col, source_col=source_col, carry=True).select("slot", "pos_in_block", "row")
+    placed = mix(df, targets, id_col=id_col, source_col=source_col, period=period, carry=True).select("slot", "pos_in_block", "row")
     return placed.repartitionByRange("slot", "pos_in_block").sortWithinPartitions("slot", "pos_in_block").select("row.*")
 
 

@@ -26,6 +26,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_mixing_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place every document in a mixture of the sources that follows the tempered weights themselves."""
+    return mixing.mix(table(spark, sf_dir, "documents"), period=None)
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     batch_rows(spark, MANY)
@@ -72,6 +77,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
+    "op3_mixing_exact": op3_mixing_exact,
     "op4_html": op4_html,
     "op5_token_files": op5_token_files,
     "op6_suffix_dedup": op6_suffix_dedup,

@@ -64,3 +64,33 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix(table(spark, [(1, "a", "t")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_shares_follow_the_target_weights_over_the_whole_run(spark):
+    small = {f"s{i:02d}": 100 for i in range(19)}
+    rows = [(i, s, "t") for i, s in enumerate(s for s, n in {"hot": 6000, **small}.items() for _ in range(n))]
+    targets = {"hot": 0.20287 * 3, **{s: (1 - 0.20287) / 19 * 3 for s in small}}
+    targets["s18"] = 0.0
+    total = sum(targets.values())
+    got = mixing.mix(table(spark, rows), targets, block_rows=1, period=None).collect()
+    assert len(got) == len(rows) and len({(r.slot, r.pos_in_block) for r in got}) == len(rows)
+    live = sorted((r.slot, r.source) for r in got if r.in_mix)
+    assert [t for t, _ in live] == list(range(len(live))) and len(live) > 1500
+    had = dict.fromkeys(targets, 0)
+    for t, s in live:
+        had[s] += 1
+        assert all(abs(n - targets[x] / total * (t + 1)) < 1 + 1e-6 for x, n in had.items())
+    assert all(r.slot_release <= r.slot < r.slot_due for r in got if r.in_mix)
+    assert min(r.slot for r in got if r.source == "s18") > max(r.slot for r in got if r.source != "s18")
+    for s in targets:
+        mine = [r.slot for r in sorted(got, key=lambda r: r.source_pos) if r.source == s]
+        assert mine == sorted(mine)
+
+
+def test_edges_without_a_period(spark):
+    assert mixing.mix(table(spark, []), period=None).collect() == []
+    rows = [(1, None, None), (None, "a", ""), (1, None, None), (2, "a", "x")]
+    got = mixing.mix(table(spark, rows), period=None).collect()
+    assert len({(r.slot, r.pos_in_block) for r in got}) == 4
+    plan = mixing.mix(table(spark, rows), period=None)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
