@@ -161,11 +161,11 @@ class Pages:
 
 
 def inputs(found: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
-    """Hashed names of each block's path, hashed words, and its numbers."""
+    """Hashed names of each block's path, hashed words, and its numbers; all of a block's text counts."""
     n = len(found)
     names = [sorted({zlib.crc32(x.encode()) % NAMES for x in b.path}) or [0] for b in found]
-    words = [[zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in b.text[:400].lower().split()[:40]] for b in found]
-    numbers = np.array([[min(1.0, len(b.text) / 400), b.linked, sum(map(str.isupper, b.text[:200])) / min(200, len(b.text)), i / max(1, n - 1)] for i, b in enumerate(found)], np.float32).reshape(n, 4)
+    words = [[zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in b.text.lower().split()] for b in found]
+    numbers = np.array([[min(1.0, len(b.text) / 400), b.linked, sum(map(str.isupper, b.text)) / len(b.text), i / max(1, n - 1)] for i, b in enumerate(found)], np.float32).reshape(n, 4)
     return names, words, numbers
 
 

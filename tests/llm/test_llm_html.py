@@ -56,3 +56,9 @@ def test_extract_and_edges(spark, model):
     assert [r.text for r in got if r.page_id in (2, 3)] == ["", ""]
     assert next(r for r in got if r.page_id == 4).text.count("Some words") == 3000
     assert H.extract(df.limit(0), model).collect() == []
+
+
+def test_inputs_take_all_of_a_long_block():
+    start = "word " * 100
+    _, words, numbers = H.inputs(blocks(f"<p>{start}</p><p>{start}MORE AND MORE</p>"))
+    assert [len(w) for w in words] == [100, 103] and numbers[0][2] == 0 < numbers[1][2]
