@@ -6,70 +6,56 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, cover_tree, html_labeller, langid, media, minhash, mixing, suffix_dedup, token_counts, token_files
-from .common import FEW, MANY, batch_rows, table
+from .common import table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document with byte_bpe_50k."""
-    batch_rows(spark, MANY)
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
-    batch_rows(spark, MANY)
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place every document in a mixture of the sources with tempered weights."""
-    return mixing.mix(table(spark, sf_dir, "documents"))
-
-
-def op3_mixing_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place every document in a mixture of the sources that follows the tempered weights themselves."""
-    return mixing.mix(table(spark, sf_dir, "documents"), period=None)
+    """Place every document in the mixture of the sources with the stated target weights."""
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.TARGETS, other=mixing.OTHER)
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
-    batch_rows(spark, MANY)
     return html_labeller.extract(table(spark, sf_dir, "pages"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write every document's ids to token files and read them back."""
-    batch_rows(spark, MANY)
     return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the strings that smaller ones have."""
-    batch_rows(spark, FEW)
     return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store every document as a video file and read it back."""
-    batch_rows(spark, FEW)
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learnt from those not held out."""
-    batch_rows(spark, FEW)
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
-    batch_rows(spark, FEW)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all embeddings."""
-    batch_rows(spark, MANY)
     return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
@@ -77,7 +63,6 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_token_counts": op2_token_counts,
     "op3_mixing": op3_mixing,
-    "op3_mixing_exact": op3_mixing_exact,
     "op4_html": op4_html,
     "op5_token_files": op5_token_files,
     "op6_suffix_dedup": op6_suffix_dedup,
