@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
@@ -19,12 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def own_dir() -> str:
+    """A folder of this process, for local masters."""
+    return "file://" + tempfile.mkdtemp(prefix="kinfold-shared-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may go without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="kinfold-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = own_dir()
     return found.rstrip("/")
 
 
@@ -33,13 +42,26 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/kinfold/{label}-{uuid.uuid4().hex}"
 
 
-#: Rows of an Arrow batch: few where whole rows pass through Python with large arrays beside them, else Spark's own number.
-BATCH, FEW, MANY = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000, 10_000
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """name, with underscores after it until no taken column has it (Spark doesn't tell upper from lower case)."""
+    held = {x.lower() for x in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Set how many rows of documents executors hold in an Arrow batch, from the next execution on."""
-    spark.conf.set(BATCH, str(rows))
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda pad: 0
+
+
+def release() -> None:
+    """Give memory that is free back to the system, as workers live on after their task."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 #: Whether an execution's shuffle files go when it ends, rather than when the driver happens to collect garbage.
@@ -71,7 +93,10 @@ def discard(df: DataFrame) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches again, cut so that each holds about limit bytes of the column (one row at least)."""
+    """The batches again, cut so that each holds about limit bytes of the column (one row at least).
+
+    Spark's own batches hold at most spark.sql.execution.arrow.maxBytesPerBatch, or one row.
+    """
     for batch in batches:
         n = batch.num_rows
         sizes = [0 if x is None else x for x in pa.compute.binary_length(batch.column(column)).to_pylist()]
@@ -83,3 +108,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             held += sizes[i]
         if start < n:
             yield batch.slice(start, n - start)
+        release()

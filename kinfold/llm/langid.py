@@ -2,15 +2,12 @@
 
 Each letter class has a random +-1 vector of DIM components (class 0: any run of non-letters, a word's edge). The
 vector of a letter triple is the product of the first letter's vector permuted twice, the second's permuted once and
-the third's. A text's vector is the sum (bundle) of its triples' vectors; a language's prototype is the sum over its
-training texts. Documents are compared with the prototypes by cosine.
+the third's. A text's vector is the sum (bundle) of its triples' vectors, times their counts; a language's prototype is
+the sum over its training texts. Documents are compared with the prototypes by cosine, which is the score.
 
-Bundling is linear, so the product of a text's vector with a prototype is the sum over its triples of what each
-triple's vector gives with it: those products, PROFILE numbers for each language, are computed once from the vectors
-and shipped. The length of a text's vector is taken as sqrt(DIM * sum of squared triple counts), which random triple
-vectors have up to an error of about 1/sqrt(DIM); it is the same for all languages and cannot change the choice.
-
-The letter classes are a bounded alphabet: a to z, and other letters dealt over the remaining classes by a fixed rule.
+The letter classes are a bounded alphabet: a to z, and other letters dealt over the remaining classes by a fixed rule,
+so scripts with many letters share classes. Languages may be many: training keeps triple counts by language, of which
+one language has at most PROFILE, and the model is DIM numbers for each.
 """
 
 from __future__ import annotations
@@ -24,16 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import fresh, slices
 
-DIM, SEED = 2048, 20_240
+DIM, SEED = 1024, 20_240
 CLASSES = 64
 PROFILE = CLASSES**3
 UNKNOWN = "und"
 #: Bytes of text whose triples are held at a time; they take some forty times that.
 SLICE = 2 << 20
-#: Languages are labels of a closed set; each takes PROFILE * 4 bytes of the model. More than so many are refused.
-MAX_LANGUAGES = 128
+#: Documents, and distinct triples, of a product of counts and vectors.
+DOCS, STEP = 1024, 4096
 
 
 @lru_cache(maxsize=1)
@@ -65,23 +62,42 @@ def triples(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return tri[same], np.searchsorted(doc[:-2][same], np.arange(len(texts) + 1))
 
 
+@lru_cache(maxsize=1)
+def letters() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors of all classes as first, second and third letter of a triple."""
+    last = np.random.default_rng(SEED).integers(0, 2, (CLASSES, DIM), dtype=np.int8) * 2 - 1
+    return np.roll(last, 2, 1), np.roll(last, 1, 1), last
+
+
+def vectors(tri: np.ndarray) -> np.ndarray:
+    """Vectors of triples, one row each."""
+    first, second, third = letters()
+    return (first[tri >> 12] * second[tri >> 6 & 63] * third[tri & 63]).astype(np.float32)
+
+
+def bundles(doc: np.ndarray, tri: np.ndarray, times: np.ndarray, n: int) -> np.ndarray:
+    """Sums of times * vector over the entries (doc, tri, times) of each of n documents, no entry twice."""
+    out = np.zeros((n, DIM), np.float32)
+    used, column = np.unique(tri, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    doc, column, times = doc[order], column[order], times[order]
+    for i in range(0, len(used), STEP):
+        a, b = np.searchsorted(column, [i, i + STEP])
+        dense = np.zeros((n, min(STEP, len(used) - i)), np.float32)
+        dense[doc[a:b], column[a:b] - i] = times[a:b]
+        out += dense @ vectors(used[i : i + STEP])
+    return out
+
+
 def counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    """(lang, tri, n): letter triples of all training texts by language, summed within each task before the shuffle."""
+    """(lang, tri, n): letter triples of all training texts by language, summed slice by slice before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
         for batch in slices(batches, "text", SLICE):
-            langs = batch.column("lang").to_pylist()
+            langs, of = np.unique(np.array(batch.column("lang").to_pylist(), object).astype(str), return_inverse=True)
             tri, at = triples(batch.column("text").to_pylist())
-            for lang in set(langs):
-                mine = np.repeat(np.array([x == lang for x in langs]), np.diff(at))
-                n = np.bincount(tri[mine], minlength=PROFILE)
-                held[lang] = held[lang] + n if lang in held else n
-                if len(held) > MAX_LANGUAGES:
-                    raise ValueError(f"over {MAX_LANGUAGES} languages")
-        for lang, n in held.items():
-            where = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(where), pa.string()), pa.array(where, pa.int32()), pa.array(n[where], pa.int64())], ["lang", "tri", "n"])
+            key, n = np.unique(np.repeat(of.astype(np.int64), np.diff(at)) << 18 | tri, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(key >> 18)), pa.array((key & PROFILE - 1).astype(np.int32)), pa.array(n)], ["lang", "tri", "n"])
 
     source = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     return source.mapInArrow(run, "lang string, tri int, n long").groupBy("lang", "tri").agg(F.sum("n").alias("n"))
@@ -89,76 +105,73 @@ def counts(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 @dataclass
 class Model:
-    """languages, and for each triple what its vector gives with each language's unit prototype."""
+    """languages, and the prototype of each, scaled to length 1."""
 
     languages: list[str]
-    products: np.ndarray
+    prototypes: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and score (the cosine, not under 0) of each text; und and 0 without letters or languages."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score (the cosine, not under 0) and number of triples of each text; und and 0 without letters or languages."""
         tri, at = triples([x or "" for x in texts])
-        n = len(texts)
-        names, scores = [UNKNOWN] * n, np.zeros(n)
-        size = np.diff(at)
+        names, scores, size = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.diff(at)
         # the lone edge of a text without letters gives no triple
         some = np.flatnonzero(size > 0)
-        if not len(some) or not self.languages:
-            return names, scores
-        doc = np.repeat(np.arange(n, dtype=np.uint64), size)
-        key = np.sort(doc << np.uint64(18) | tri.astype(np.uint64))
-        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        times = np.diff(np.r_[new, len(key)]).astype(np.float64)
-        key = key[new]
-        first = np.searchsorted(key >> np.uint64(18), some.astype(np.uint64))
-        length = np.sqrt(DIM * np.add.reduceat(times * times, first))
-        of = (key & np.uint64(PROFILE - 1)).astype(np.int64)
-        cosine = np.stack([np.add.reduceat(p[of] * times, first) for p in self.products]) / length
-        best = cosine.argmax(0)
-        for i, b, c in zip(some.tolist(), best.tolist(), cosine.max(0).tolist()):
-            names[i], scores[i] = self.languages[b], min(1.0, max(0.0, c))
-        return names, scores
+        for i in range(0, len(some) if self.languages else 0, DOCS):
+            mine = some[i : i + DOCS]
+            part = tri[at[mine[0]] : at[mine[-1] + 1]]
+            key, times = np.unique(np.repeat(np.arange(len(mine)), size[mine]) << 18 | part, return_counts=True)
+            bundle = bundles(key >> 18, key & PROFILE - 1, times, len(mine)).astype(np.float64)
+            length = np.sqrt((bundle * bundle).sum(1))
+            cosine = bundle @ self.prototypes.T / np.where(length > 0, length, 1)[:, None]
+            scores[mine] = np.clip(cosine.max(1), 0, 1)
+            for k, b in zip(mine.tolist(), cosine.argmax(1).tolist()):
+                names[k] = self.languages[b]
+        return names, scores, size
 
 
 def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Model:
     """Learn prototypes from all rows with a language and a text.
 
-    Only the sums by language and triple come to the driver: PROFILE numbers for each of at most MAX_LANGUAGES.
+    A language's counts (PROFILE rows at most, whatever the input) make its prototype in one task; only the prototypes,
+    DIM numbers a language, come to the driver.
     """
-    rows = counts(df, lang_col, text_col).toPandas()
-    languages = sorted(rows["lang"].unique())
-    n = np.zeros((len(languages), PROFILE))
-    n[np.searchsorted(languages, rows["lang"]), rows["tri"]] = rows["n"]
-    used = np.flatnonzero(n.any(0))
-    letters = np.random.default_rng(SEED).integers(0, 2, (CLASSES, DIM), dtype=np.int8) * 2 - 1
-    first, second = np.roll(letters, 2, 1), np.roll(letters, 1, 1)
-
-    def vectors(tri: np.ndarray) -> np.ndarray:
-        return (first[tri >> 12] * second[tri >> 6 & 63] * letters[tri & 63]).astype(np.float32)
-
-    prototypes = np.zeros((len(languages), DIM))
-    for i in range(0, len(used), 8192):
-        prototypes += n[:, used[i : i + 8192]] @ vectors(used[i : i + 8192])
-    prototypes /= np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12)
-    # triples that no training text has are bundled just the same: their vectors are made for any triple
-    products = np.concatenate([prototypes.astype(np.float32) @ vectors(np.arange(i, i + 8192)).T for i in range(0, PROFILE, 8192)], axis=1) if languages else np.zeros((0, PROFILE), np.float32)
-    return Model(languages, products)
-
-
-def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns with lang_pred and score of every row. The text is the only input of a prediction."""
-    held = df.sparkSession.sparkContext.broadcast(model)
-    own = text_col in keep
-    text = text_col if own else "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, SLICE):
-            names, scores = held.value.predict(batch.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
-
-    columns = [F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in keep]
-    source = df.select(*columns, *([] if own else [F.col(f"`{text_col}`").cast("string").alias(text)]))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            of, tri, n = langs.indices.to_numpy(), batch.column("tri").to_numpy().astype(np.int64), batch.column("n").to_numpy().astype(np.float64)
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                for i in range(0, len(mine := np.flatnonzero(of == k)), STEP):
+                    held[lang] = held.get(lang, 0) + n[mine[i : i + STEP]] @ vectors(tri[mine[i : i + STEP]]).astype(np.float64)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.list_(pa.float64()))], ["lang", "prototype"])
+
+    # sums of whole numbers under 2^53: the order of rows can't change them
+    rows = counts(df, lang_col, text_col).repartition("lang").mapInArrow(run, "lang string, prototype array<double>").collect()
+    rows.sort(key=lambda r: r.lang)
+    prototypes = np.array([r.prototype for r in rows], np.float64).reshape(len(rows), DIM)
+    return Model([r.lang for r in rows], prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-12))
+
+
+def predict(df: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), names: tuple[str, str, str] = ("lang_pred", "score", "n_triples")) -> DataFrame:
+    """The kept columns with language, score and number of letter triples of every row, under the given names.
+
+    The text is the only input of a prediction. Null texts and texts without letters give und, 0 and 0.
+    """
+    held = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang string, score double, n long")
+    def told(texts: pa.Array) -> pa.Array:
+        parts = []
+        for batch in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", SLICE):
+            langs, scores, size = held.value.predict(batch.column("text").to_pylist())
+            parts.append(pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores), pa.array(size.astype(np.int64))], ["lang", "score", "n"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang", pa.string()), ("score", pa.float64()), ("n", pa.int64())]))
+
+    own = fresh("told", keep)
+    source = df.select(*[F.col(f"`{c}`") for c in keep], told(F.col(f"`{text_col}`").cast("string")).alias(own))
+    return source.select(*[F.col(f"`{c}`") for c in keep], *[F.col(own)[x].alias(name) for x, name in zip(("lang", "score", "n"), names)])
 
 
 def held_out(df: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import numpy as np
+
 from kinfold.llm import langid
 
 SF = "/root/testdata/sf0.01"
@@ -17,18 +19,26 @@ def test_triples():
     assert at.tolist() == [0, 2, 2, 5, 6]
 
 
-def test_linear_products_are_those_of_the_bundles(spark):
-    import numpy as np
-
+def test_score_is_the_cosine_of_the_bundles(spark):
     docs = spark.createDataFrame([(1, "aa", "the cat sat"), (2, "bb", "der hund und")], "doc_id long, lang string, text string")
     model = langid.fit(docs)
     letters = np.random.default_rng(langid.SEED).integers(0, 2, (64, langid.DIM), dtype=np.int8) * 2 - 1
     vector = lambda t: sum((np.roll(letters[x >> 12], 2) * np.roll(letters[x >> 6 & 63], 1) * letters[x & 63]).astype(float) for x in langid.triples([t])[0].tolist())
-    text = "the hund"
-    for k, source in enumerate(("the cat sat", "der hund und")):
-        prototype = vector(source)
-        want = vector(text) @ prototype / np.linalg.norm(prototype)
-        assert abs(model.products[k][langid.triples([text])[0]].sum() - want) < 1e-2 * langid.DIM
+    cosine = lambda a, b: a @ b / np.linalg.norm(a) / np.linalg.norm(b)
+    texts = ["the hund", "", "the the the cat", "12", "und der und", "x " * 3000]
+    names, scores, size = model.predict(texts)
+    for text, name, score, n in zip(texts, names, scores, size):
+        want = [cosine(vector(text), vector(x)) for x in ("the cat sat", "der hund und")] if n else [0, 0]
+        assert abs(score - max(0, *want)) < 1e-6 and name == (["aa", "bb"][int(np.argmax(want))] if n else "und")
+
+
+def test_many_languages(spark):
+    rows = [(i, f"l{i:03d}", " ".join(chr(97 + (i * k) % 26) * 2 + chr(97 + i // 26) + chr(97 + k) for k in range(1, 9))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = langid.fit(docs)
+    assert len(model.languages) == 200
+    names, scores, _ = model.predict([t for _, _, t in rows])
+    assert sum(n == lang for n, (_, lang, _) in zip(names, rows)) >= 198 and scores.min() > 0.99
 
 
 def test_edges(spark):
