@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -41,6 +42,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> tuple[tuple[int, int], ...]:
+    """Ranges of all code points that this Python's Unicode tables don't know.
+
+    Letter classes of assigned code points are fixed, but parties with other tables class some of these as letters.
+    """
+    unknown = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    starts = [c for c, before in zip(unknown, [-2, *unknown]) if c != before + 1]
+    ends = [c for c, after in zip(unknown, [*unknown[1:], -2]) if c != after - 1]
+    return tuple(zip(starts, ends))
+
+
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizers .json file."""
 
@@ -70,7 +83,10 @@ class Bpe:
         self.kind = np.dtype(np.uint16 if len(self.bytes) <= 1 << 16 else np.int32)
         self.spaced = Known(lambda words: zip(words, self._raw([" " + w for w in words])), CACHE)
         self.bare = Known(lambda words: zip(words, self._raw(words)), CACHE)
+        self.path, self.library = path, None
         self.find = regex.compile(PATTERN).findall
+        self.unknown = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in unassigned()) + "]").search
+        self.odd = "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in unassigned()) + "]"
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache: dict[str, tuple[int, ...]] = {}
 
@@ -138,7 +154,16 @@ class Bpe:
         return tuple(x for x in ids if x >= 0)
 
     def words(self, piece: str) -> list[str]:
-        """Pre-tokens of a piece; the commonest shapes need no pattern (isalpha is the letter class)."""
+        """Pre-tokens of a piece; the commonest shapes need no pattern (isalpha is the letter class).
+
+        Pieces with code points unknown here are cut by the library's own pre-tokenizer.
+        """
+        if not piece.isascii() and self.unknown(piece):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path).pre_tokenizer
+            return [piece[a:b] for _, (a, b) in self.library.pre_tokenize_str(piece)]
         body = piece[1:] if piece[0] == " " else piece
         if body.isalpha():
             return [piece]
@@ -200,7 +225,7 @@ class Bpe:
 
     def encode_array(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of an Arrow array without nulls: distinct pieces are encoded once, and gathered."""
-        cut = Cut(texts, list(self.special))
+        cut = Cut(texts, list(self.special), self.odd)
         out: list[np.ndarray] = [np.zeros(0, self.kind)] * len(texts)
         odd = np.flatnonzero(~cut.plain).tolist()
         for i, ids in zip(odd, self.encode_batch([texts[i].as_py() for i in odd])):

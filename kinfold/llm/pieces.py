@@ -38,14 +38,16 @@ LETTERS = "^[A-Za-zÀ-ÖØ-öø-ɏ]+[.,]?$"
 
 
 class Cut:
-    """Distinct pieces of plain texts: those without gaps, special strings or nothing in them.
+    """Distinct pieces of plain texts: those without gaps, special strings, matches of also, or nothing in them.
 
     plain: which texts are; of the i-th plain one, index[bounds[i]:bounds[i + 1]] are its pieces. Pieces below
     len(words) are a space and a word, the others are first words, which no space precedes.
     """
 
-    def __init__(self, texts: pa.Array, special: list[str]):
+    def __init__(self, texts: pa.Array, special: list[str], also: str | None = None):
         odd = pc.or_(pc.equal(texts, ""), pc.match_substring_regex(texts, GAPPED))
+        if also:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, also))
         for s in special:
             odd = pc.or_(odd, pc.match_substring(texts, s))
         self.plain = ~odd.to_numpy(zero_copy_only=False)

@@ -4,7 +4,8 @@ Texts over CHUNK characters are encoded as overlapping chunks with offsets. Two
 place in their overlap where both start a pre-token and which lies before the last pre-token and MARGIN characters
 before the end of the left chunk. Pre-tokenization reads from left to right and never looks back, so right of such a
 place the right chunk's tokens are those of the whole text, and left of it the left chunk's are. Where the overlap
-holds no such place, it is doubled, until the right chunk starts where the left one's proven part does.
+holds no such place, it is doubled, until the right chunk starts where the left one's proven part does. A right chunk
+is at least as long as the overlap, so a text without any such place is encoded some times over, not once a chunk.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ class Counter:
             overlap = self.overlap
             while True:
                 begin = max(proven, end - overlap)
-                stop = min(len(text), max(end, begin) + self.chunk)
+                stop = min(len(text), end + max(self.chunk, end - begin))
                 right = encode(begin, stop)
                 if begin == proven:  # both are proven from here: the right one replaces the left one
                     place = (skip, 0)

@@ -51,6 +51,23 @@ def test_bpe_gives_the_librarys_ids_and_text(by_bytes):
     assert [coder.decode(x) for x in got] == [by_bytes.decode(x, skip_special_tokens=False) for x in got]
 
 
+def test_bpe_classes_every_code_point_like_the_library(by_bytes):
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(f"{c}'ll 1{c} a{c}, !{c}" for c in points[i : i + 128]) for i in range(0, len(points), 128)]
+    texts += [" ".join(f"a{c} {c}1" for c in points[i : i + 128]) for i in range(0, len(points), 128)]
+    coder = bpe.Bpe(BYTES)
+    for i in range(0, len(texts), 2048):
+        got = coder.encode_array(pa.array(texts[i : i + 2048]))
+        assert [x.tolist() for x in got] == [e.ids for e in by_bytes.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
+
+
+def test_bpe_on_many_odd_texts(by_bytes):
+    r = random.Random(77)
+    rare = [chr(x) for x in (0x18D9D, 0x32426, 0x12680, 0x19017, 0x1C89, 0x558, 0x2FFFD, 0x1B168, 0x10FFFD, 0xE000, 0x300, 0x661, 0x2167)]
+    texts = ["".join(r.choice(PARTS + rare) for _ in range(r.randint(0, 30))) for _ in range(30_000)]
+    assert [x.tolist() for x in bpe.Bpe(BYTES).encode_array(pa.array(texts))] == [e.ids for e in by_bytes.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_rank_array_and_heap_agree():
     coder, r = bpe.Bpe(BYTES), random.Random(1)
     for n in (2, 5, 17, 48):
@@ -90,6 +107,21 @@ def test_splices_widen_and_stay_exact(by_bytes):
     assert counter.widened > 0
 
 
+def test_a_blob_is_encoded_a_few_times_over_at_most(by_bytes):
+    counter = token_counts.Counter(BYTES, chunk=256, overlap=8)
+    done, encode = [], counter.of.encode
+
+    class Counted:
+        def encode(self, text, **kw):
+            done.append(len(text))
+            return encode(text, **kw)
+
+    counter.of = Counted()
+    text = "".join(random.Random(5).choice("abcdefghij") for _ in range(100_000))
+    assert counter.spliced(text) == len(by_bytes.encode(text, add_special_tokens=False).ids)
+    assert sum(done) < 12 * len(text)
+
+
 def test_counts_on_edges(spark, by_bytes):
     rows = token_counts.count_tokens(edge_table(spark), BYTES).collect()
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in rows)[:2] == [("1", 0, 0, False), ("2", 0, 0, False)]
