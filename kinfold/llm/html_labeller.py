@@ -115,12 +115,12 @@ class Pages:
         out = [r.choice([f"<h1>{self.text(8)}</h1>", f"<h1>{self.text(30)}</h1>", f"<h2>{self.text(8)}</h2>", f"<header><h1>{self.text(8)}</h1></header>", ""])]
         for _ in range(r.choice([0, 1, 2, 3, 4, 6, 9, 14, 20]) if r.random() < 0.95 else r.randint(40, 90)):
             kind = r.random()
-            if kind < 0.78:
+            if kind < 0.7:
                 out.append(self.para())
-            elif kind < 0.84:
+            elif kind < 0.76:
                 out.append(f"<h{r.randint(2, 4)}>{self.text(6)}</h3>")
             elif kind < 0.9:
-                out.append(f"<{r.choice(['ul', 'ol'])}>" + "".join(f"<li>{self.text(12)}</li>" for _ in range(r.randint(1, 4))) + "</ul></ol>")
+                out.append(f"<{r.choice(['ul', 'ol'])}>" + "".join(f"<li>{self.text(r.choice([4, 12, 30]))}</li>" for _ in range(r.randint(1, 6))) + "</ul></ol>")
             elif kind < 0.94:
                 out.append(f"<blockquote>{self.text(20)}</blockquote>")
             elif kind < 0.97:
@@ -163,7 +163,8 @@ class Pages:
 def inputs(found: list[Block]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
     """Hashed names of each block's path, hashed words, and its numbers; all of a block's text counts."""
     n = len(found)
-    names = [sorted({zlib.crc32(x.encode()) % NAMES for x in b.path}) or [0] for b in found]
+    hashed = {x: zlib.crc32(x.encode("utf-8", "surrogatepass")) % NAMES for b in found for x in b.path}
+    names = [sorted(set(map(hashed.__getitem__, b.path))) or [0] for b in found]
     words = [[zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in b.text.lower().split()] for b in found]
     numbers = np.array([[min(1.0, len(b.text) / 400), b.linked, sum(map(str.isupper, b.text)) / len(b.text), i / max(1, n - 1)] for i, b in enumerate(found)], np.float32).reshape(n, 4)
     return names, words, numbers
@@ -278,8 +279,8 @@ class Labeller:
         for done in range(passes):
             losses = []
             for s in r.permutation(len(steps)):
-                # words and numbers of most blocks are hidden, so that the path and its surroundings have to do
-                some = [(a, [[] if hide else w for w, hide in zip(b, hidden)], c * ~hidden[:, None]) for a, b, c in (pages[i] for i in steps[s]) for hidden in [r.random(len(a)) < 0.75]]
+                # words of most blocks and numbers of some are hidden, so that the path and its surroundings have to do
+                some = [(a, [[] if hide else w for w, hide in zip(b, hidden < 0.75)], c * (hidden >= 0.4)[:, None]) for a, b, c in (pages[i] for i in steps[s]) for hidden in [r.random(len(a))]]
                 loss, g = self.gradients(some, np.concatenate([truths[i] for i in steps[s]]))
                 losses.append(loss)
                 k += 1

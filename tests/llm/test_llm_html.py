@@ -62,3 +62,124 @@ def test_inputs_take_all_of_a_long_block():
     start = "word " * 100
     _, words, numbers = H.inputs(blocks(f"<p>{start}</p><p>{start}MORE AND MORE</p>"))
     assert [len(w) for w in words] == [100, 103] and numbers[0][2] == 0 < numbers[1][2]
+
+
+PAGES = {
+    "comments below the article": (
+        """<!doctype html><html><head><title>Storm | The Post</title></head><body><header class="site-header"><a href="/">The Post</a></header>
+        <nav class="navbar"><ul><li><a href="/a">News</a></li><li><a href="/b">Sport</a></li></ul></nav>
+        <main><article class="post"><h1>Storm hits the coast</h1><p>Heavy rain fell on Monday &amp; Tuesday.</p><p>Roads were closed for hours.</p></article></main>
+        <section class="comments" id="comments"><h2>3 comments</h2><div class="comment"><b>Ann</b><p>I saw it from my window, it was frightening.</p></div><div class="comment"><b>Bo</b><p>Stay safe everyone out there.</p></div></section>
+        <footer class="footer"><p>&copy; 2024 The Post. All rights reserved.</p></footer></body></html>""",
+        ["Storm hits the coast", "Heavy rain fell on Monday & Tuesday.", "Roads were closed for hours."],
+    ),
+    "advert within and sidebar beside the article": (
+        """<html><body><div class="cookie-banner"><p>We use cookies to improve the site.</p><button>Accept</button></div>
+        <div class="content"><h1>How to bake bread</h1><p>Mix flour, water and salt.</p><div class="ad-slot">Buy our new oven today!</div><p>Let the dough rest
+        for an hour.</p><ul><li>Flour: 500 g</li><li>Water: 300 g</li></ul></div>
+        <aside class="sidebar"><h3>Related posts</h3><ul><li><a href="/x">Cakes</a></li><li><a href="/y">Rolls</a></li></ul></aside>
+        <div class="footer-links"><a href="/privacy">Privacy</a> <a href="/terms">Terms</a></div></body></html>""",
+        ["How to bake bread", "Mix flour, water and salt.", "Let the dough rest for an hour.", "Flour: 500 g", "Water: 300 g"],
+    ),
+    "newsletter form and quote": (
+        """<html><body><nav><a href="/">Home</a> <a href="/blog">Blog</a></nav><article><h1>Notes on rivers</h1><p>Rivers carry sand and <em>silt</em> to the sea.</p>
+        <blockquote>Water finds its own level.</blockquote><form class="newsletter-form"><label>Your mail</label><input name="m"><button>Sign up</button></form>
+        <p>They bend where banks are soft.</p></article><div class="related"><h3>More stories</h3><p><a href="/1">Lakes in winter</a></p></div></body></html>""",
+        ["Notes on rivers", "Rivers carry sand and silt to the sea.", "Water finds its own level.", "They bend where banks are soft."],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_written_by_hand(model, name):
+    page, want = PAGES[name]
+    assert H.extract_text(model, [page])[0].split("\n\n") == want
+
+
+def test_pages_of_the_test_data(model):
+    """Main text there is what <article> holds but for adverts and asides, read here by a parser of another make."""
+    from html.parser import HTMLParser
+
+    class Articles(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.inside, self.skipped, self.now = [], 0, 0, []
+
+        def cut(self):
+            text = " ".join("".join(self.now).split())
+            self.out += [text] if text else []
+            self.now = []
+
+        def handle_starttag(self, tag, attrs):
+            name = dict(attrs).get("class") or ""
+            if self.skipped or tag in ("aside", "form", "nav") or name in ("ad", "ads", "comments", "comment", "sidebar", "notice"):
+                self.skipped += tag in ("aside", "form", "nav", "div", "section", "ul", "ol")
+            self.inside += tag == "article"
+            if tag not in ("b", "a", "i", "em", "span"):
+                self.now.append(" ") if tag == "br" else self.cut()
+
+        def handle_endtag(self, tag):
+            if tag not in ("b", "a", "i", "em", "span"):
+                self.cut()
+            self.inside -= tag == "article"
+            if self.skipped and tag in ("aside", "form", "nav", "div", "section", "ul", "ol"):
+                self.skipped -= 1
+
+        def handle_data(self, data):
+            if self.inside and not self.skipped:
+                self.now.append(data)
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()
+    want = []
+    for page in pages:
+        parser = Articles()
+        parser.feed(page)
+        want.append("\n\n".join(parser.out))
+    got = H.extract_text(model, pages)
+    assert sum(a == b for a, b in zip(got, want)) / len(pages) > 0.97
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<p class="x>Hello', []),
+        ('<p class="x>Hello</p><p class="y">World</p>', ["World"]),
+        ("a < b <3 c<p>d", ["a < b <3 c", "d"]),
+        ('<p a=b"c>x</p>', ["x"]),
+        ('<p title="a>b">z', ["z"]),
+        ("x<!-->y<!-- z -->w", ["xyw"]),
+        ("<title>a <b> c</title><p>q", ["a <b> c", "q"]),
+        ("<script>if (a<b) '</p>'</script >t", ["t"]),
+        ("<p>t<script>never closed <p>x", ["t"]),
+        ("<template>a</template>b</svg>c</>d</ e>f<?x?>g<!doctype html>h", ["bcdfgh"]),
+    ],
+)
+def test_tags_end_as_in_html(page, want):
+    assert [b.text for b in blocks(page)] == want
+
+
+@pytest.mark.parametrize("bad", ['<p class="x>Hello ', '<a b="', "<svg>", "<!-- x", "< <", "</p", "<object>x", "<textarea>", '<p a b c ="', "<div><p>x", "<p a=a=a="])
+def test_bad_pages_take_linear_time(bad):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        blocks(bad * n)
+        return time.process_time() - began
+
+    took(1000)
+    assert took(40_000) < 16 * max(0.05, took(10_000))
+
+
+def test_no_markup_in_any_text(model):
+    import random
+
+    r = random.Random(7)
+    parts = ["<p", ">", '"', "'", "=", " class", "<div>", "</div>", "text ", "<", "</", "<!--", "-->", "<script>", "</script>", "<a href=", "&lt;", "/", "<br>", "<title>", "</title>"]
+    pages = ["".join(r.choice(parts) for _ in range(r.randint(1, 80))) for _ in range(2000)]
+    import re
+
+    plain = [x for x in pages if "&lt;" not in x and "<title>" not in x]
+    assert not any(re.search(r"<(?:p|div|br|a|script)[\s>]", b.text) for x in plain for b in blocks(x))
