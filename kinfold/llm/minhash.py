@@ -7,7 +7,8 @@ within clusters links are confirmed on the full shingle sets; components of conf
 
 What keeps groups of any size from one task:
 - documents with equal shingle sets are one representative, found by an aggregate with partial results;
-- buckets and clusters over BLOCK members are dealt into blocks, and each pair of blocks is a unit of work of its own;
+- buckets and clusters over BLOCK members (or BLOCK_BYTES of sets) are dealt into blocks, and each pair of blocks is a
+  unit of work of its own;
 - a unit gives each member's least connected member, never its pairs.
 
 Chance of losing a link at the threshold 0.85: (1 - 0.85^4)^24 = 2e-8 by the bands, and 1e-9 by the estimate, as
@@ -29,7 +30,8 @@ from .components import components
 
 WORDS = 5
 K, BANDS, ROWS, BITS = 128, 24, 4, 4
-BLOCK = 256
+#: Members of a block, and bytes of their shingle sets; a unit holds two blocks.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
 #: Bytes of text that are hashed at a time; they take some fifty times that.
 SLICE = 2 << 20
 SURE = 6.0
@@ -188,14 +190,18 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def deal(members: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+def deal(members: DataFrame, key: str, set_size: str | None = None) -> DataFrame:
     """The members (key, doc) of keys with two or more, and of each the number of its key's blocks and its own one.
 
-    Keys of up to block members have one block; larger ones are split by a hash of doc.
+    Keys of up to BLOCK members, with sets (of set_size shingles each) of up to BLOCK_BYTES, have one block; larger ones
+    are split by a hash of doc.
     """
-    sizes = members.groupBy(key).agg(F.count("*").alias("size")).where("size > 1")
-    dealt = members.join(sizes.hint("merge"), key).withColumn("parts", F.ceil(F.col("size") / F.lit(block)).cast("int"))
-    return dealt.withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).drop("size")
+    size = F.ceil(F.count("*") / F.lit(BLOCK))
+    if set_size:
+        size = F.greatest(size, F.ceil(F.sum(F.col(set_size) * 8) / F.lit(BLOCK_BYTES)))
+    sizes = members.groupBy(key).agg(F.least(size, F.count("*")).cast("int").alias("parts"), F.count("*").alias("size")).where("size > 1").drop("size")
+    dealt = members.join(sizes.hint("merge"), key)
+    return dealt.withColumn("blk", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
 
 
 def units(dealt: DataFrame, key: str) -> DataFrame:
@@ -340,7 +346,8 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     near = near_in_units(units(shared, "key").join(reps.select("doc", "sig").hint("merge"), "doc"), threshold)
     clusters = components(near)
     inside = clusters.select(F.col("node").alias("doc"), F.col("root").alias("cluster")).unionByName(clusters.select(F.col("root").alias("doc"), F.col("root").alias("cluster")).distinct())
-    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(deal(inside, "cluster").hint("merge"), "doc")
+    sized = inside.join(reps.select("doc", "n").hint("merge"), "doc")
+    texts = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(deal(sized, "cluster", "n").drop("n").hint("merge"), "doc")
     links = confirmed_in_units(units(sets_of(texts, words), "cluster"), percent)
     found = components(links.unionByName(member))
     return (

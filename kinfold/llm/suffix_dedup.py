@@ -26,13 +26,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import materialize, release, slices
 
 LENGTH, GRAM = 50, 16
 SLICE = 4 << 20
 #: Windows are keyed in stretches of so many bytes, to stay in the cache; longer texts are cut with an overlap.
 STRETCH = 256 << 10
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 8 << 20
+#: Most partitions that buckets are dealt over; a partition streams its buckets one after another.
+PARTITIONS = 8192
 #: Bytes shipped for a byte of text, about: LENGTH - 1 bytes more for each row of windows.
 SPREAD = 3.7
 #: Windows of a batch, and of the keys that share an index family.
@@ -397,10 +399,13 @@ def spans(dealt: DataFrame, frequent: np.ndarray) -> DataFrame:
                 if bucket != now and blobs:
                     yield bucket_spans(blobs, filter_)
                     blobs = []
+                    release()
                 now = bucket
                 blobs.append(blob)
         if blobs:
             yield bucket_spans(blobs, filter_)
+        del blobs
+        release()
 
     return dealt.mapInArrow(run, "doc long, mark long, start long, stop long")
 
@@ -412,7 +417,7 @@ def removals(source: DataFrame, buckets: int | None = None) -> DataFrame:
     if not buckets:
         buckets = max(2 * int(session.conf.get("spark.sql.shuffle.partitions")), int(total * SPREAD / BUCKET_BYTES) + 1)
     frequent = frequent_grams(source, buckets, total)
-    dealt = shares(source, buckets, frequent).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    dealt = shares(source, buckets, frequent).repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket")
     # written first, so that the shares are gone when the texts move
     return materialize(spans(dealt, frequent), "spans").groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 

@@ -149,7 +149,6 @@ def test_near_duplicates_are_exact(spark):
 
 def test_units_over_several_blocks_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 4)
-    monkeypatch.setattr(minhash.deal, "__defaults__", (4,))
     r = random.Random(2)
     base = [f"w{k}" for k in range(300)]
     docs = []

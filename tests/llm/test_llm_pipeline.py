@@ -82,3 +82,37 @@ def test_near_dedup_keeps_what_brute_force_keeps_at_080(spark):
     assert sum(0.8 <= s < 0.85 for s in share.values()) > 5
     docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     assert {x.doc_id for x in P.near_dedup(spark, docs, SF).collect()} == {i for i in sets if find(i) == i}
+
+
+def test_short_texts_stay_and_long_gibberish_goes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(6)
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 8))) for _ in range(n)) for n in (300, 1000, 4000) for _ in range(20)]
+    short = docs.where("lang = 'en'").limit(50).collect()
+    words = [w for d in short for w in d.text.split()[:3] if w.isalpha() and w.isascii() and len(w) > 2]
+    more = [(10**6 + i, t, None, "a", len(t)) for i, t in enumerate(noise)] + [(2 * 10**6 + i, t, None, "a", len(t)) for i, t in enumerate(words)]
+    both = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {x.doc_id for x in P.language(spark, both, SF).collect()}
+    clean = {x.doc_id for x in docs.collect()}
+    assert len(clean - kept) <= 0.005 * len(clean)
+    assert sum(2 * 10**6 + i in kept for i in range(len(words))) > 0.95 * len(words)
+    assert sum(10**6 + i in kept for i in range(len(noise))) <= 0.05 * len(noise)
+
+
+def test_stages_on_nulls_repeats_long_texts_and_clashing_columns(spark):
+    base = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect()]
+    rows = [tuple(x.values()) for x in base] + [tuple(base[0].values())] * 2
+    rows += [(None, base[1]["text"], "en", "a", 1), (9001, None, None, None, None), (9002, "", "en", "b", 0), (9003, "the of and " + base[2]["text"] * 200, "en", None, 5), (9004, "the and of", None, "b", 3)]
+    clash = ["ids", "n_tokens", "mix_file", "mix_row", "score", "lang_pred", "slot", "row", "spans", "doc", "mark", "unit", "told", "h", "key", "bucket", "text_"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"concat('{c}', coalesce(doc_id, 0)) AS `{c}`" for c in clash])
+    docs = docs.withColumnRenamed("text_", "a.b")
+    now = docs
+    for name, stage in P.STAGES[:-1]:
+        before, now = now, materialize(stage(spark, now, SF), name)
+        assert now.columns == docs.columns
+        assert all(r["a.b"] == f"text_{r.doc_id or 0}" and r.score == f"score{r.doc_id or 0}" for r in now.collect())
+        assert now.count() <= before.count() if name in ("language_id", "minhash_near_dedup") else now.count() == before.count()
+    last = P.encode(spark, now, SF).collect()
+    assert {"ids", "n_tokens", "mix_file", "mix_row", "ids_", "n_tokens_", "mix_file_", "mix_row_"} <= set(last[0].asDict())
+    assert all(r.ids_ == f"ids{r.doc_id or 0}" and r.n_tokens == len(r.ids) for r in last)
+    assert sum(r.doc_id == base[0]["doc_id"] for r in last) == 3 and not {9001, 9002} & {r.doc_id for r in last}
