@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 #: Defaults of the search.
 K, REVERSE_K, MAX_DF = 20, 3, 2000
 RECALL_AT = (5, 10, 20, 30)
+#: S1 rows of a term that are joined in one task.
+SHARE = 8192
 
 
 def term_counts(records: DataFrame) -> DataFrame:
@@ -53,31 +55,42 @@ def weights(counts: DataFrame, terms: DataFrame) -> DataFrame:
 def similarities(s1_weights: DataFrame, index_weights: DataFrame) -> DataFrame:
     """(s1_id, cand_id, score) of all pairs in a country with a term in common.
 
-    max_df bounds the index rows of a term; frequent terms of the S1 side are split by AQE.
+    max_df bounds the index rows of a term. Terms that are frequent on the S1 side are dealt into shares of about SHARE
+    rows, each with the term's index rows. A few postings make many pairs, so the join's partitions are not left to be
+    made few by the size of its input.
     """
     a = s1_weights.select("country", "term", F.col("entity_id").alias("s1_id"), F.col("w").alias("wa"))
     b = index_weights.select("country", "term", F.col("entity_id").alias("cand_id"), F.col("w").alias("wb"))
-    return a.join(b, ["country", "term"]).groupBy("s1_id", "cand_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
+    shares = a.groupBy("country", "term").agg(F.ceil(F.count("*") / F.lit(SHARE)).cast("int").alias("shares"))
+    a = a.join(shares, ["country", "term"]).withColumn("share", F.pmod(F.xxhash64("s1_id"), F.col("shares")).cast("int")).drop("shares")
+    b = b.join(shares, ["country", "term"]).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    parts, on = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), ["country", "term", "share"]
+    pairs = a.repartition(parts, *on).join(b.repartition(parts, *on), on)
+    return pairs.groupBy("s1_id", "cand_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("score"))
 
 
 def _best(key: str, other: str) -> Window:
-    """Rank by the score to nine places, so that summing order can't change it; ties by id."""
-    return Window.partitionBy(key).orderBy(F.round("score", 9).desc(), other)
+    """Rank by the score to nine places (as whole numbers), so that summing order can't change it; ties by id."""
+    return Window.partitionBy(key).orderBy(F.floor(F.col("score") * 1e9 + 0.5).desc(), other)
+
+
+def _limited(pairs: DataFrame, k: int, key: str, other: str) -> DataFrame:
+    """The k best pairs of each key with their place from 1; the limit holds before the shuffle by key, too."""
+    return pairs.withColumn("place", F.row_number().over(_best(key, other))).where(F.col("place") <= k)
 
 
 def top_k(pairs: DataFrame, k: int, key: str = "s1_id", other: str = "cand_id") -> DataFrame:
     """The k best pairs of each key with their rank from 0."""
-    return pairs.withColumn("rank", F.row_number().over(_best(key, other)) - 1).where(F.col("rank") < k)
+    return _limited(pairs, k, key, other).withColumn("rank", F.col("place") - 1).drop("place")
 
 
 def both_ways(pairs: DataFrame, k: int = K, reverse_k: int = REVERSE_K) -> DataFrame:
     """Pairs among the k best of their S1 record or the reverse_k best of their candidate, ranked again."""
-    ranked = pairs.withColumn("f", F.row_number().over(_best("s1_id", "cand_id")))
-    keep = F.col("f") <= k
+    kept = _limited(pairs, k, "s1_id", "cand_id").drop("place")
     if reverse_k > 0:
-        ranked = ranked.withColumn("r", F.row_number().over(_best("cand_id", "s1_id")))
-        keep = keep | (F.col("r") <= reverse_k)
-    return ranked.where(keep).select("s1_id", "cand_id", "score", (F.row_number().over(_best("s1_id", "cand_id")) - 1).alias("rank"))
+        # both lists are short, and the similarities below them are summed once (a reused exchange)
+        kept = kept.unionByName(_limited(pairs, reverse_k, "cand_id", "s1_id").drop("place")).groupBy("s1_id", "cand_id").agg(F.max("score").alias("score"))
+    return kept.select("s1_id", "cand_id", "score", (F.row_number().over(_best("s1_id", "cand_id")) - 1).alias("rank"))
 
 
 def scored_pairs(s1: DataFrame, index: DataFrame, max_df: int | None = MAX_DF, fallback: bool = True) -> DataFrame:
