@@ -29,9 +29,9 @@ from .pieces import Cut, Known, pieces
 #: Pre-token pattern of the byte-level vocabularies (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = 48
-CACHE = 200_000
+CACHE = 60_000
 #: Bytes of text whose distinct pieces are looked up together, and pieces whose ids are gathered together.
-SLICE, GATHER = 8 << 20, 1 << 18
+SLICE, GATHER = 3 << 20, 1 << 17
 NONE = np.iinfo(np.int32).max
 
 

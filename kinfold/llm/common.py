@@ -64,6 +64,8 @@ def release() -> None:
     _trim()(0)
 
 
+#: Rows of an Arrow batch while a stage table is written: whole rows pass through Python with large arrays beside them.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"
 #: Whether an execution's shuffle files go when it ends, rather than when the driver happens to collect garbage.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -71,15 +73,18 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The shuffle files of the write are of no more use once it is done, so they are dropped then.
+    The shuffle files of the write are of no more use once it is done, so they are dropped then. The session's options
+    are what they were afterwards.
     """
     session = df.sparkSession
-    path, before = new_path(session, label), session.conf.get(CLEANUP, "false")
+    path, before = new_path(session, label), {CLEANUP: session.conf.get(CLEANUP, "false"), BATCH: session.conf.get(BATCH)}
     session.conf.set(CLEANUP, "true")
+    session.conf.set(BATCH, ROWS)
     try:
         df.write.parquet(path)
     finally:
-        session.conf.set(CLEANUP, before)
+        for key, value in before.items():
+            session.conf.set(key, value)
     return session.read.schema(df.schema).parquet(path)
 
 
