@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import bpe, langid, minhash, mixing, suffix_dedup
-from kinfold.llm.common import fresh, materialize, table
+from kinfold.llm.common import BATCH, ROWS, fresh, materialize, table
 
 #: A text is taken for no language where its cosine with the nearest one is under what a text of its length should have:
 #: LEAST_COSINE for long texts, less by sqrt(n / (n + HALF)) for n letter triples, as short texts hold few of a language's
@@ -27,12 +27,22 @@ NEAR_PERCENT = 80
 ORACLE_SQL = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ROWS rows, as whole documents pass through Python beside large arrays.
+
+    The caller runs what a stage returns, so this stays set; it is one value for all stages and never raises a lower one.
+    """
+    if not 0 < int(spark.conf.get(BATCH)) <= int(ROWS):
+        spark.conf.set(BATCH, ROWS)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a learnt language; those without letters or like none of the languages go.
 
     Null and empty texts go; repeated rows stay or go together; an empty table, or one without labels, keeps nothing.
     Columns of any name stay as they are.
     """
+    small_batches(spark)
     columns = docs.columns
     model = langid.fit(langid.held_out(docs.select("doc_id", "text", "lang")).where(~F.col("held_out")))
     lang, score, n = (fresh(x, columns) for x in ("told", "cosine", "triples"))
@@ -57,6 +67,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     All rows stay: null texts are null, and texts that others hold whole become empty. A character of which a byte goes
     goes as a whole. Rows that repeat an id are one document; an empty table stays empty; other columns stay.
     """
+    small_batches(spark)
     cut = suffix_dedup.deduplicated(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*[f"`{c}`" for c in docs.columns])
 
@@ -75,6 +86,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no ids. Columns of docs that have one of these four names get an underscore after it.
     """
+    small_batches(spark)
     taken = [c.lower() for c in docs.columns]
     renamed = {c: fresh(c + "_", docs.columns) for c in docs.columns if c.lower() in ("ids", "n_tokens", "mix_file", "mix_row")}
     try:
