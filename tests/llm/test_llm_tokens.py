@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -51,20 +52,20 @@ def test_bpe_gives_the_librarys_ids_and_text(by_bytes):
     assert [coder.decode(x) for x in got] == [by_bytes.decode(x, skip_special_tokens=False) for x in got]
 
 
-def test_bpe_classes_every_code_point_like_the_library(by_bytes):
-    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c <= 0xDFFF]
-    texts = ["".join(f"{c}'ll 1{c} a{c}, !{c}" for c in points[i : i + 128]) for i in range(0, len(points), 128)]
-    texts += [" ".join(f"a{c} {c}1" for c in points[i : i + 128]) for i in range(0, len(points), 128)]
-    coder = bpe.Bpe(BYTES)
-    for i in range(0, len(texts), 2048):
-        got = coder.encode_array(pa.array(texts[i : i + 2048]))
-        assert [x.tolist() for x in got] == [e.ids for e in by_bytes.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
+def test_bpe_classes_every_assigned_code_point_like_the_library(by_bytes):
+    """Pre-tokens, of which ids are a function; unassigned code points go through the library, some of them here too."""
+    kinds = {c: unicodedata.category(chr(c)) for c in range(1, 0x110000)}
+    points = [chr(c) for c, kind in kinds.items() if kind not in ("Cs", "Cn") or kind == "Cn" and c % 997 == 0]
+    coder, library = bpe.Bpe(BYTES), by_bytes.pre_tokenizer
+    for c in points:
+        text = f"a{c}1{c}'ll !{c}"
+        assert [w for p in pieces(text) for w in coder.words(p)] == [text[x:y] for _, (x, y) in library.pre_tokenize_str(text)], hex(ord(c))
 
 
 def test_bpe_on_many_odd_texts(by_bytes):
     r = random.Random(77)
     rare = [chr(x) for x in (0x18D9D, 0x32426, 0x12680, 0x19017, 0x1C89, 0x558, 0x2FFFD, 0x1B168, 0x10FFFD, 0xE000, 0x300, 0x661, 0x2167)]
-    texts = ["".join(r.choice(PARTS + rare) for _ in range(r.randint(0, 30))) for _ in range(30_000)]
+    texts = ["".join(r.choice(PARTS + rare) for _ in range(r.randint(0, 30))) for _ in range(10_000)]
     assert [x.tolist() for x in bpe.Bpe(BYTES).encode_array(pa.array(texts))] == [e.ids for e in by_bytes.encode_batch_fast(texts, add_special_tokens=False)]
 
 
