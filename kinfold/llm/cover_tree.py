@@ -6,11 +6,14 @@ children. Two nodes are dropped if their centres are further apart than both cov
 together; they are linked as a whole, without looking at pairs, if centres and radii together stay within it; else
 their children are looked at, and single vectors are compared in double precision.
 
-The top of the traversal is shared out: cells are the Voronoi cells of up to MAX_CELLS vectors picked from a sample of
-SAMPLE distinct vectors (documented bounds; they shape the work, not the result). A cell's vectors are dealt into
-blocks of about BLOCK, each block gets a tree of its own, and pairs of blocks that the covering radii don't rule out
-are the units of work. So a cell with a third of all rows is many units, and no unit has over two blocks. Equal
-vectors are one class with a count. A unit gives counts of links and each vector's least connected vector, never pairs.
+The upper part of the tree is made of tables. Its first nodes are the Voronoi cells of up to MAX_CELLS vectors picked
+from a sample of SAMPLE distinct vectors; a node of more than BLOCK vectors is split again around up to FAN of its own
+vectors (documented bounds; they shape the work, not the result), round by round, until its vectors fit a block or lie
+so close together that they are linked as a whole anyway. Only such close ones, and what ROUNDS rounds leave, are dealt
+into blocks by hash. The dual traversal goes down the tables level by level, by equi-joins on the parent, and drops
+pairs of nodes by their covering radii. Pairs of blocks that are left are the units of work, each block with a tree of
+its own. So a cell with a third of all rows is many units, and no unit has over two blocks. Equal vectors are one class
+with a count. A unit gives counts of links and each vector's least connected vector, never pairs.
 
 Where vectors have no structure, no exact method can rule out many pairs of blocks, and the work is quadratic.
 """
@@ -21,14 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 from .components import components
 from .minhash import roots, whole_units
 
 SAMPLE, MAX_CELLS, BLOCK = 4096, 256, 4096
+#: Most children of a node that is split, how often, and how many blocks of vectors one task moves to them.
+FAN, ROUNDS, SHARE = 64, 8, 16
 LEVELS = 8
 #: Slack of bounds in double precision, and of products in single precision.
 SLACK, SINGLE = 1e-7, 2e-5
@@ -262,7 +268,6 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     zero vectors and those with null or non-finite components link with nothing. Each row counts as a vector of its
     own, also where rows repeat. An empty table gives no rows; other columns are not looked at.
     """
-    session = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     wide = rows.schema["v"].dataType.elementType.simpleString() != "float"
     rows = rows.withColumn("v", F.col("v").cast("array<double>" if wide else "array<float>"))
@@ -276,27 +281,7 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
     for size in {len(x) for x in sample}:
         some = unit_rows(np.stack([x for x in sample if len(x) == size]))
         cells[size] = _pick_cells(some, min(MAX_CELLS, max(1, n // block)))
-    centres = session.sparkContext.broadcast(cells)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vectors = batch.column("v")
-            size = np.diff(vectors.offsets.to_numpy())
-            flat, at = vectors.flatten().to_numpy(), vectors.offsets.to_numpy()[:-1] - vectors.offsets[0].as_py()
-            cell, raw = np.zeros(len(size), np.int64), [flat[a : a + m].astype(kind).tobytes() for a, m in zip(at.tolist(), size.tolist())]
-            for m in np.unique(size).tolist():
-                mine = np.flatnonzero(size == m)
-                found = centres.value.get(m)
-                if found is not None:
-                    u = unit_rows(np.stack([np.frombuffer(raw[i], kind) for i in mine]))
-                    cell[mine] = (u @ found.T).argmax(axis=1)
-                cell[mine] += m << 16  # cells of each length are apart
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("weight"), pa.array(raw, pa.binary()), pa.array(cell)], ["rep", "weight", "raw", "cell"])
-
-    placed = classes.select("rep", "weight", "v").mapInArrow(place, "rep long, weight long, raw binary, cell long")
-    placed = materialize(placed, "cells")
-    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("parts"))
-    dealt = placed.join(parts, "cell").withColumn("unit", F.xxhash64("cell", F.pmod(F.xxhash64("rep"), F.col("parts"))))
+    dealt, pairs, held = _upper(_place(classes, cells, kind), kind, block, cosine)
 
     def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
@@ -305,15 +290,12 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
                 part = table.slice(s, e - s).combine_chunks()
                 u = unit_rows(_stack(part.column("raw"), kind))
                 order, marks = Tree.order(u)
-                reach = chord(u @ u[order[0]]).max() + SLACK
-                m = e - s
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(pa.array(order)).combine_chunks() for c in ("unit", "cell", "rep", "weight", "raw")), pa.array(np.arange(m, dtype=np.int32)), pa.array(list(marks), pa.list_(pa.int32())), pa.array([reach] + [None] * (m - 1), pa.float64())],
-                    ["block", "cell", "rep", "weight", "raw", "ord", "marks", "reach"],
+                    [*(part.column(c).take(pa.array(order)).combine_chunks() for c in ("unit", "rep", "weight", "raw")), pa.array(np.arange(e - s, dtype=np.int32)), pa.array(list(marks), pa.list_(pa.int32()))],
+                    ["block", "rep", "weight", "raw", "ord", "marks"],
                 )
 
-    trees = materialize(dealt.select("unit", "cell", "rep", "weight", "raw").repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(plant, "block long, cell long, rep long, weight long, raw binary, ord int, marks array<int>, reach double"), "trees")
-    pairs = _block_pairs(trees.where("ord = 0").select("block", "cell", "raw", "reach"), kind, cosine)
+    trees = materialize(dealt.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(plant, "block long, rep long, weight long, raw binary, ord int, marks array<int>"), "trees")
     sides = pairs.select(F.explode(F.array(F.struct("unit", F.col("a").alias("block")), F.struct("unit", F.col("b").alias("block")))).alias("s")).select("s.*").distinct()
     work = trees.select("block", "rep", "weight", "raw", "ord", "marks").join(sides, "block")
 
@@ -333,6 +315,8 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
                 yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(counts[some]), pa.array(rep[label[some]])], ["rep", "links", "other"])
 
     met = materialize(work.repartition("unit").sortWithinPartitions("unit", "block", "ord").mapInArrow(meet, "rep long, links long, other long"), "links")
+    for stage in (*held, trees):
+        discard(stage)
     counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
     found = components(met.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     of_class = (
@@ -359,43 +343,127 @@ def _runs(key: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(start.tolist(), [*start[1:].tolist(), len(key)]))
 
 
-def _block_pairs(blocks: DataFrame, kind, cosine: float) -> DataFrame:
-    """(unit, a, b): pairs of blocks, a block with itself too, that the covering radii leave.
-
-    A block visits its own and later cells that it may reach, and meets the blocks there by an equi-join on the cell.
-    A cell's reach is that of its blocks, from its first block's centre.
-    """
-    most = float(np.sqrt(2 - 2 * cosine)) + 4 * SLACK
-    cells = blocks.groupBy("cell").agg(F.min_by("raw", "block").alias("raw"))
+def _place(classes: DataFrame, cells: dict[int, np.ndarray], kind) -> DataFrame:
+    """rep, weight, raw, cell, parent (null) and dist, the distance from the cell's centre, of every class."""
+    centres = classes.sparkSession.sparkContext.broadcast(cells)
 
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = [chord(float((unit_rows(np.frombuffer(x, kind)[None])[0] * unit_rows(np.frombuffer(y, kind)[None])[0]).sum())) + r for x, y, r in zip(*(batch.column(c).to_pylist() for c in ("raw", "centre", "reach")))]
-            yield pa.RecordBatch.from_arrays([batch.column("cell"), batch.column("centre"), pa.array([float(x) for x in d], pa.float64())], ["cell", "centre", "reach"])
+            vectors = batch.column("v")
+            size = np.diff(vectors.offsets.to_numpy())
+            flat, at = vectors.flatten().to_numpy(), vectors.offsets.to_numpy()[:-1] - vectors.offsets[0].as_py()
+            raw = [flat[a : a + m].astype(kind).tobytes() for a, m in zip(at.tolist(), size.tolist())]
+            # a length that the sample lacks is one cell, of which nothing is known
+            cell, dist = np.zeros(len(size), np.int64), np.full(len(size), 2.0)
+            for m in np.unique(size).tolist():
+                mine = np.flatnonzero(size == m)
+                found = centres.value.get(m)
+                if found is not None:
+                    dots = unit_rows(np.stack([np.frombuffer(raw[i], kind) for i in mine])) @ found.T
+                    cell[mine], dist[mine] = dots.argmax(axis=1), chord(dots.max(axis=1))
+                cell[mine] += m << 16  # cells of each length are apart
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("weight"), pa.array(raw, pa.binary()), pa.array(cell), pa.nulls(len(size), pa.int64()), pa.array(dist)], ["rep", "weight", "raw", "cell", "parent", "dist"])
 
-    reach = blocks.join(cells.withColumnRenamed("raw", "centre"), "cell").select("cell", "raw", "centre", "reach").mapInArrow(lengths, "cell long, centre binary, reach double")
-    # at most MAX_CELLS for each vector length
-    held = reach.groupBy("cell").agg(F.max("centre").alias("centre"), F.max("reach").alias("reach")).collect()
-    of_size: dict[int, list] = {}
-    for r in held:
-        of_size.setdefault(len(r.centre), []).append((r.cell, r.centre, r.reach))
-    table = {k: (np.array([c for c, _, _ in x], np.int64), unit_rows(np.stack([np.frombuffer(v, kind) for _, v, _ in x])), np.array([m for _, _, m in x])) for k, x in of_size.items()}
+    return materialize(classes.select("rep", "weight", "v").mapInArrow(place, "rep long, weight long, raw binary, cell long, parent long, dist double"), "cells")
 
-    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _upper(placed: DataFrame, kind, block: int, cosine: float) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The upper tree: (unit, rep, weight, raw) of all vectors by block, the pairs of blocks, and tables to drop.
+
+    A node's centre is its vector nearest to what it was picked around, its reach the largest distance from that. Nodes
+    to split, and vectors that move to their children, stay tables: a node's vectors are dealt over shares of SHARE
+    blocks each, and each share gets the node's children.
+    """
+    most = float(chord(np.array(cosine)))
+    now, nodes, stages, leaves = placed, [], [placed], []
+    for turn in range(ROUNDS + 1):
+        found = now.groupBy("cell").agg(F.first("parent").alias("parent"), F.count("*").alias("n"), (F.max("dist") + SLACK).alias("reach"), F.min_by("raw", "dist").alias("raw"))
+        fits = (F.col("n") <= block) | (F.col("reach") <= most / 4) | F.lit(turn == ROUNDS)
+        found = materialize(found.withColumns({"leaf": fits, "parts": F.ceil(F.col("n") / F.lit(block))}), "nodes")
+        nodes.append(found)
+        stages.append(found)
+        own = now.join(found.where("leaf").select("cell", "parts"), "cell")
+        leaves.append(own.select(F.xxhash64("cell", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("unit"), "rep", "weight", "raw"))
+        wide = found.where("not leaf").select("cell", "n", F.least(F.lit(FAN), F.col("parts") + 1).cast("int").alias("k"), F.ceil(F.col("parts") / SHARE).alias("shares"))
+        if wide.isEmpty():
+            break
+        over = now.join(wide, "cell")
+        # the children's centres: k of some 64 to 256 vectors that a hash picks
+        order = F.xxhash64("rep", F.lit(turn))
+        some = over.where(F.pmod(order, F.col("n")) < F.greatest(F.lit(64), 4 * F.col("k"))).groupBy("cell", "k", "shares").agg(F.array_sort(F.collect_list(F.struct(order.alias("h"), "rep", "raw"))).alias("s"))
+        centres = some.select("cell", "shares", F.posexplode(F.slice("s", F.lit(1), F.col("k")))).select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(0).alias("kind"), F.col("pos").cast("long").alias("rep"), F.lit(0).cast("long").alias("weight"), "col.raw")
+        vectors = over.select("cell", F.pmod(F.xxhash64("rep"), F.col("shares")).alias("share"), F.lit(1).alias("kind"), "rep", "weight", "raw")
+        moved = vectors.unionByName(centres).repartition("cell", "share").sortWithinPartitions("cell", "share", "kind", "rep").mapInArrow(_nearest(kind), "rep long, weight long, raw binary, parent long, child int, dist double")
+        now = materialize(moved.select("rep", "weight", "raw", F.xxhash64("parent", "child").alias("cell"), "parent", "dist"), "cells")
+        stages.append(now)
+    rows = leaves[0]
+    for other in leaves[1:]:
+        rows = rows.unionByName(other)
+    return rows, _block_pairs(nodes, kind, most + 4 * SLACK), stages
+
+
+def _nearest(kind):
+    """Moves vectors to the nearest of the centres that come before them in their share of a node."""
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, centres = None, []
         for batch in batches:
-            out = []
-            for b, c, raw, r in zip(*(batch.column(x).to_pylist() for x in ("block", "cell", "raw", "reach"))):
-                cell, centre, reach_ = table[len(raw)]
-                d = chord(centre @ unit_rows(np.frombuffer(raw, kind)[None])[0])
-                out += [(b, int(j), raw, r, c) for j in cell[(d <= r + reach_ + most) & (cell >= c)]]
-            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["a", "cell", "raw_a", "reach_a", "home"])
+            if not batch.num_rows:
+                continue
+            cell, share, is_vector = (batch.column(c).to_numpy() for c in ("cell", "share", "kind"))
+            edges = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (share[1:] != share[:-1]) | (is_vector[1:] != is_vector[:-1])])
+            for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(cell)]):
+                part = batch.slice(s, e - s)
+                if (cell[s], share[s]) != at:
+                    at, centres = (cell[s], share[s]), []
+                u = unit_rows(_stack(part.column("raw"), kind))
+                if not is_vector[s]:
+                    centres.append(u)
+                    continue
+                dots = u @ np.concatenate(centres).T
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("weight"), part.column("raw"), part.column("cell"), pa.array(dots.argmax(axis=1).astype(np.int32)), pa.array(chord(dots.max(axis=1)))], ["rep", "weight", "raw", "parent", "child", "dist"])
+
+    return move
+
+
+def _block_pairs(nodes: list[DataFrame], kind, most: float) -> DataFrame:
+    """(unit, a, b): pairs of blocks, a block with itself too, that the covering radii leave.
+
+    Dual traversal of the upper tree: pairs of nodes that may be within most of each other become the pairs of their
+    children; a leaf stands for itself until the last level. At most MAX_CELLS first nodes of each vector length come
+    to the driver.
+    """
+    session = nodes[0].sparkSession
+    of_size: dict[int, list] = {}
+    for r in nodes[0].select("cell", "raw", "reach").collect():
+        of_size.setdefault(len(r.raw), []).append(r)
+    first = []
+    for same in of_size.values():
+        u, reach = unit_rows(np.stack([np.frombuffer(r.raw, kind) for r in same])), np.array([r.reach for r in same])
+        x, y = np.nonzero(np.triu(chord(u @ u.T) <= reach[:, None] + reach + most))
+        first += [(same[i].cell, same[j].cell) for i, j in zip(x.tolist(), y.tolist())]
+    pairs = session.createDataFrame(first, "a long, b long")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [float(chord(np.array(float((unit_rows(np.frombuffer(x, kind)[None])[0] * unit_rows(np.frombuffer(y, kind)[None])[0]).sum())))) <= p + q + most for x, y, p, q in zip(*(batch.column(c).to_pylist() for c in ("raw_a", "raw_b", "reach_a", "reach_b")))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    visits = blocks.mapInArrow(visit, "a long, cell long, raw_a binary, reach_a double, home long")
-    met = visits.join(blocks.select(F.col("block").alias("b"), "cell", F.col("raw").alias("raw_b"), F.col("reach").alias("reach_b")), "cell").where("home < cell or a <= b")
-    return met.select("a", "b", "raw_a", "raw_b", "reach_a", "reach_b").mapInArrow(near, "a long, b long").withColumn("unit", F.xxhash64("a", "b"))
+            size, keep = pa.compute.binary_length(batch.column("raw_a")).to_numpy(), np.zeros(batch.num_rows, bool)
+            for m in np.unique(size).tolist():
+                mine = np.flatnonzero(size == m)
+                u, v = (unit_rows(_stack(batch.column(c).take(pa.array(mine)), kind)) for c in ("raw_a", "raw_b"))
+                reach = batch.column("reach_a").to_numpy() + batch.column("reach_b").to_numpy()
+                keep[mine] = chord(np.einsum("ij,ij->i", u, v)) <= reach[mine] + most
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    def down(pairs: DataFrame, kids: DataFrame) -> DataFrame:
+        named = lambda k: kids.select(F.col("parent").alias(k), F.col("node").alias(f"child_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in kids.columns if c not in ("parent", "node")])
+        both = pairs.join(named("a"), "a").join(named("b"), "b").where("a <> b or child_a <= child_b")
+        return both.drop("a", "b").withColumnsRenamed({"child_a": "a", "child_b": "b"})
+
+    ended = nodes[0].where("leaf")
+    for level in nodes[1:]:
+        themselves = ended.select(F.col("cell").alias("parent"), F.col("cell").alias("node"), "raw", "reach")
+        kids = level.select("parent", F.col("cell").alias("node"), "raw", "reach").unionByName(themselves)
+        pairs = down(pairs, kids).select("a", "b", "raw_a", "raw_b", "reach_a", "reach_b").mapInArrow(near, "a long, b long")
+        ended = ended.unionByName(level.where("leaf"))
+    parts = ended.select(F.col("cell").alias("parent"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p")).select("parent", F.xxhash64("parent", "p").alias("node"))
+    return down(pairs, parts).select("a", "b").withColumn("unit", F.xxhash64("a", "b"))

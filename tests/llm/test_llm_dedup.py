@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -218,6 +219,30 @@ def test_tree_levels_are_nested():
         assert (tree.radii[level] <= 2.0 ** (1 - level) + 1e-3).all()
 
 
+def test_clustered_vectors_leave_few_pairs_of_blocks(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(24, 32))
+    # one cluster holds a third of all vectors, so its cell is split again and again
+    rows = centres[np.where(r.random(3000) < 0.33, 0, r.integers(0, 24, 3000))] + 0.12 * r.normal(size=(3000, 32))
+    u = cover_tree.unit_rows(rows)
+    near = u @ u.T >= 0.999
+    classes = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(rows)], "rep long, weight long, v array<double>")
+    dealt, pairs, _ = cover_tree._upper(cover_tree._place(classes, {32: cover_tree._pick_cells(u, 8)}, np.float64), np.float64, 40, 0.999)
+    block = {row.rep: row.unit for row in dealt.collect()}
+    held = {frozenset((p.a, p.b)) for p in pairs.collect()}
+    assert sorted(block) == list(range(len(rows))) and pairs.count() == len(held)
+    blocks = len(set(block.values()))
+    assert max(Counter(block.values()).values()) <= 40 and blocks < 400
+    assert len(held) < blocks * (blocks + 1) / 2 / 4
+    assert all(frozenset((block[a], block[b])) in held for a, b in zip(*(x.tolist() for x in np.nonzero(near))))
+
+
+def test_vectors_of_one_direction_are_not_split_for_ever(spark):
+    rows = [(i, [float(i + 1), 2.0 * (i + 1)]) for i in range(300)] + [(300, [1.0, 0.0]), (301, [1.0, 0.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=20).collect()}
+    assert got == {**{i: (299, 0) for i in range(300)}, 300: (0, 300), 301: (0, 301)}
+
+
 def test_near_vectors_on_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [inf, 1.0]), (8, [None, 1.0]), (9, [1.0, 0.0]), (10, [-0.0, 1.0]), (11, [0.0, 1.0]), (12, [1.0, 0.0, 0.0]), (9, [1.0, 0.0])]
