@@ -126,7 +126,7 @@ def error_examples(outcomes: DataFrame, s1: DataFrame, index: DataFrame, n: int
     """N pairs of each error kind in a fixed pseudo-random order, with both texts and the true owner."""
     from pyspark.sql.window import Window
 
-    order = Window.partitionBy("outcome").orderBy(F.xxhash64("s1_id", "cand_id", F.lit(seed)), "s1_id", "cand_id")
+    order = Window.partitionBy("outcome").orderBy(F.md5(F.concat_ws("|", "s1_id", "cand_id", F.lit(str(seed)))), "s1_id", "cand_id")
     some = outcomes.where("outcome <> 'tp'").withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
     text = lambda df, k: df.select(F.col("entity_id").alias(f"{k}_id"), F.col("block_text").alias(f"{k}_text"))
     return some.join(text(s1, "s1"), "s1_id").join(text(index, "cand"), "cand_id")

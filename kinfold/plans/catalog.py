@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -88,7 +89,13 @@ register("n18_addresses", lambda spark, d: fx.normalized(spark, d).select("entit
 register("n19_number_parts", lambda spark, d: messy(spark, d).select("doc_id", _joined(text.number_parts(text.drop_punctuation(F.lower("s")))).alias("out")), f"WITH {_SOURCE} SELECT doc_id, array_to_string({o.parts(o.split(o.punctuation('lower(s)')))}, ' ') AS out FROM messy")
 register("n20_block_text", lambda spark, d: fx.normalized(spark, d).select("entity_id", "block_text"), o.sql("SELECT entity_id, block_text FROM norm", "norm"))
 register("n21_add_normalized", lambda spark, d: fx.normalized(spark, d).select("entity_id", "country", "name_n", "addr_n", "block_text"), o.sql("SELECT entity_id, country, name_n, addr_n, block_text FROM norm", "norm"))
-register("n21_documents", lambda spark, d: fx.documents(spark, d).select("doc_id", text.normalize_name(F.col("text")).alias("name_n")))
+_WHOLE = r"ascii AS (SELECT doc_id, lower(regexp_replace(strip_accents(text), '[^\x00-\x7f]', '', 'g')) AS t FROM documents)"
+register("n01_ascii_documents", lambda spark, d: fx.documents(spark, d).select("doc_id", F.lower(text.to_ascii(F.col("text"))).alias("out")), f"WITH {_WHOLE} SELECT doc_id, t AS out FROM ascii")
+register(
+    "n21_documents",
+    lambda spark, d: fx.documents(spark, d).select("doc_id", text.normalize_name(F.col("text")).alias("name_n")),
+    f"WITH {_WHOLE}, based AS MATERIALIZED (SELECT doc_id, {o.base('t')} AS b FROM ascii), parted AS MATERIALIZED (SELECT doc_id, list_transform(list_transform({o.words('b')}, lambda t: {o.zeros('t')}), lambda t: {o.leet('t')}) AS w FROM based) SELECT doc_id, array_to_string({o.name_words('w')}, ' ') AS name_n FROM parted",
+)
 
 # ---- sources and sinks (S)
 
@@ -104,6 +111,21 @@ def _tsv(spark: SparkSession, d: str, where: str = "true") -> str:
 register("s01_tsv_scan", lambda spark, d: io.read_tsv(spark, _tsv(spark, d)), o.sql(f"SELECT {', '.join(_RECORDS)} FROM records", "records"))
 register("s02_load_normalized", lambda spark, d: io.load_normalized(spark, _tsv(spark, d)), o.sql("SELECT entity_id, country, name_n, addr_n, block_text FROM norm", "norm"))
 register("s03_index_scan", lambda spark, d: io.read_index(spark, [_tsv(spark, d, "source = 'S2'"), _tsv(spark, d, "source = 'S3'")]), o.sql(f"SELECT {', '.join(_RECORDS)}, source FROM records WHERE source <> 'S1'", "records"))
+
+
+def _splits(spark: SparkSession, d: str) -> DataFrame:
+    """Records written as the files of both splits, and read back by way of the selector."""
+    base, found = scratch(spark, "splits"), None
+    for split, rest in (("train", 0), ("test", 1)):
+        for source in (1, 2, 3):
+            path = io.split_path(base, split, source)
+            io.write_tsv(fx.records(spark, d).where(f"source = 'S{source}' and doc_id % 2 = {rest}").select(_RECORDS), path)
+            rows = io.read_tsv(spark, path).withColumns({"split": F.lit(split), "source": F.lit(source)})
+            found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+register("s04_split_files", _splits, o.sql(f"SELECT {', '.join(_RECORDS)}, CASE WHEN doc_id % 2 = 0 THEN 'train' ELSE 'test' END AS split, substr(source, 2)::INT AS source FROM records", "records"))
 register("s05_checkpoint", lambda spark, d: io.checkpoint(fx.records(spark, d).select("country", *_RECORDS[:3]), scratch(spark, "checkpoint"), ["country"]).select("entity_id", "country"), o.sql("SELECT entity_id, country FROM records", "records"))
 register("s06_column_pruned_read", lambda spark, d: fx.normalized(spark, d).select("entity_id", "addr_n"), o.sql("SELECT entity_id, addr_n FROM norm", "norm"))
 
@@ -127,6 +149,23 @@ register(
     o.sql("SELECT s1_id AS source1_entity_id, coalesce(string_agg(cand_id, ',' ORDER BY rank), '') AS candidate_entity_ids FROM s1 LEFT JOIN cand USING (s1_id) GROUP BY ALL", "s1", "cand"),
 )
 
+
+
+def _guarded(spark: SparkSession, d: str) -> DataFrame:
+    """Which targets a writer refuses: those in guarded folders, and ones that exist."""
+    rows = fx.records(spark, d).select("entity_id")
+    base, out = scratch(spark, "guard"), []
+    for case, path in (("fresh", f"{base}/out"), ("again", f"{base}/out"), ("guarded", f"{base}/output_v3/out"), ("guarded_upper", f"{base}/OUTPUT_V3"), ("like_guarded", f"{base}/output_v31")):
+        try:
+            io.write_tsv(rows, path)
+            out.append((case, False))
+        except (ValueError, AnalysisException):
+            out.append((case, True))
+    return spark.createDataFrame(out, "target string, refused boolean")
+
+
+register("s10_output_guard", _guarded, "SELECT * FROM (VALUES ('fresh', FALSE), ('again', TRUE), ('guarded', TRUE), ('guarded_upper', TRUE), ('like_guarded', FALSE)) t(target, refused)")
+
 # ---- candidate search (B)
 
 
@@ -351,6 +390,13 @@ register(
     o.sql("SELECT s1_id, cand_id, CASE WHEN rank = 0 THEN id2 ELSE id1 END AS sib_id, round(CASE WHEN rank = 0 THEN s2 ELSE s1 END, 6) AS sib_score FROM (SELECT *, max(CASE WHEN rank = 0 THEN cand_id END) OVER w AS id1, max(CASE WHEN rank = 1 THEN cand_id END) OVER w AS id2, max(CASE WHEN rank = 0 THEN score END) OVER w AS s1, max(CASE WHEN rank = 1 THEN score END) OVER w AS s2 FROM cand WINDOW w AS (PARTITION BY s1_id))", "cand"),
 )
 register("feat_all", lambda spark, d: fx.featured(spark, d))
+# what the neighbourhood columns of the whole feature table give without string ratios
+_BEST = "row_number() OVER (PARTITION BY s1_id ORDER BY round(score, 9) DESC, cand_id)"
+register(
+    "feat_neighbours",
+    lambda spark, d: fx.featured(spark, d).select("s1_id", "cand_id", "n_cands_of_s1", r6("sib_score")),
+    o.sql(f"SELECT s1_id, cand_id, count(*) OVER (PARTITION BY s1_id) AS n_cands_of_s1, round(CASE WHEN place = 1 THEN max(score) FILTER (place = 2) OVER (PARTITION BY s1_id) ELSE max(score) FILTER (place = 1) OVER (PARTITION BY s1_id) END, 6) AS sib_score FROM (SELECT s1_id, cand_id, score, {_BEST} AS place FROM cand)", "cand"),
+)
 _OF_RECORDS = f"SELECT entity_id, {_POSTAL} AS postal, r FROM (SELECT entity_id, {_RUNS.format('addr_n')} AS r FROM norm)"
 register(
     "feat_conflicts",
@@ -417,7 +463,11 @@ register("p09_clip_power", lambda spark, d: fx.scored(spark, d).select("s1_id",
 register("p10_empty_flags", lambda spark, d: fx.normalized(spark, d).select("entity_id", (F.trim("addr_n") == "").alias("empty")), o.sql("SELECT entity_id, trim(addr_n) = '' AS empty FROM norm", "norm"))
 register("o01_sort", lambda spark, d: fx.candidates(spark, d).orderBy("s1_id", "rank").select("s1_id", "cand_id", "rank"), o.sql("SELECT s1_id, cand_id, rank FROM cand ORDER BY s1_id, rank", "cand"))
 register("o03_head", lambda spark, d: table(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(15).select("o_orderkey", "o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 15")
-register("o04_sample", lambda spark, d: fx.truth(spark, d).orderBy(F.xxhash64("s1_id", "cand_id", F.lit(0)), "s1_id", "cand_id").limit(25))
+register(
+    "o04_sample",
+    lambda spark, d: fx.truth(spark, d).orderBy(F.md5(F.concat_ws("|", "s1_id", "cand_id", F.lit("0"))), "s1_id", "cand_id").limit(25),
+    o.sql("SELECT s1_id, cand_id FROM truth ORDER BY md5(s1_id || '|' || cand_id || '|0'), s1_id, cand_id LIMIT 25", "truth"),
+)
 register("u01_union_all", lambda spark, d: fx.records(spark, d).where("source = 'S2'").select("entity_id").unionByName(fx.records(spark, d).where("source = 'S3'").select("entity_id")), o.sql("SELECT entity_id FROM records WHERE source = 'S2' UNION ALL SELECT entity_id FROM records WHERE source = 'S3'", "records"))
 register("u02_union_distinct", lambda spark, d: _cand(spark, d).select("s1_id", "cand_id").union(_address_pairs(spark, d).select("s1_id", "cand_id")).distinct(), o.sql("SELECT s1_id, cand_id FROM cand UNION SELECT s1_id, cand_id FROM addr_cand", "cand", "addr_cand"))
 register("u03_difference", lambda spark, d: decide.assign(fx.scored(spark, d)).select("s1_id", "cand_id").exceptAll(fx.truth(spark, d)), o.sql("SELECT s1_id, cand_id FROM assigned EXCEPT SELECT s1_id, cand_id FROM truth", "assigned", "truth"))
@@ -436,7 +486,11 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 register("e01_assign", lambda spark, d: decide.assign(fx.scored(spark, d)).select("s1_id", "cand_id", "prob"), o.sql("SELECT s1_id, cand_id, prob FROM assigned", "assigned"))
-register("e02_best_subset", lambda spark, d: fx.scored(spark, d).groupBy("s1_id").agg(F.transform(F.array_sort(F.collect_list(-F.col("prob"))), lambda x: -x).alias("p")).select("s1_id", decide.best_size(F.col("p")).alias("k")))
+register(
+    "e02_best_subset",
+    lambda spark, d: fx.scored(spark, d).groupBy("s1_id").agg(F.transform(F.array_sort(F.collect_list(-F.col("prob"))), lambda x: -x).alias("p")).select("s1_id", decide.best_size(F.col("p")).alias("k")),
+    o.sql(f"SELECT s1_id, count(d.cand_id)::INT AS k FROM (SELECT DISTINCT s1_id FROM scored) LEFT JOIN ({o.decoded('plain')}) d USING (s1_id) GROUP BY ALL", "scored", plain="SELECT s1_id, cand_id, prob, prob AS p FROM scored"),
+)
 _RAISED = "least(greatest(pow(prob, {g}), 1e-6), 1 - 1e-6)"
 _PLAYED = "SELECT s1_id, cand_id, prob, " + _RAISED.format(g=decide.GAMMA) + f" AS p FROM assigned02 WHERE prob >= {decide.FLOOR}"
 _DECODED = o.decoded("played")
@@ -470,7 +524,15 @@ _QS = (0.1, 0.25, 0.5, 0.75, 0.9)
 register("e08_quantiles", lambda spark, d: metrics.outcome_quantiles(_outcomes(spark, d)).select("outcome", *[r6(f"q{int(q * 100)}") for q in _QS], "n_taken", "n"), o.sql("SELECT outcome, " + ", ".join(f"round(quantile_cont(prob, {q}), 6) AS q{int(q * 100)}" for q in _QS) + ", count(*) FILTER (taken) AS n_taken, count(*) AS n FROM outcomes WHERE outcome IN ('fp', 'fn') GROUP BY ALL", "outcomes"))
 register("e09_empty_addresses", lambda spark, d: metrics.empty_address_shares(_outcomes(spark, d), _halves(spark, d)[1]).select("kind", r6("share"), r6("median_prob")), o.sql("SELECT kind, round(avg(empty::INT), 6) AS share, round(quantile_cont(prob, 0.5) FILTER (empty), 6) AS median_prob FROM (SELECT outcome AS kind, addr_n = '' AS empty, prob FROM outcomes JOIN norm ON entity_id = cand_id WHERE outcome <> 'tp' UNION ALL SELECT 'predicted', addr_n = '', prob FROM outcomes JOIN norm ON entity_id = cand_id WHERE outcome IN ('tp', 'fp') UNION ALL SELECT 'all', addr_n = '', NULL FROM norm WHERE source <> 'S1') GROUP BY ALL", "outcomes", "norm"))
 register("e09_stolen_same_name", lambda spark, d: metrics.stolen_same_name(_outcomes(spark, d), _halves(spark, d)[0]).select(r6("share")), o.sql("SELECT round(avg((a.name_n = b.name_n)::INT), 6) AS share FROM outcomes JOIN norm a ON a.entity_id = s1_id JOIN norm b ON b.entity_id = owner WHERE outcome = 'fp'", "outcomes", "norm"))
-register("e10_error_examples", lambda spark, d: metrics.error_examples(_outcomes(spark, d), *_halves(spark, d)))
+register(
+    "e10_error_examples",
+    lambda spark, d: metrics.error_examples(_outcomes(spark, d), *_halves(spark, d)),
+    o.sql(
+        "SELECT e.*, a.block_text AS s1_text, b.block_text AS cand_text FROM (SELECT s1_id, cand_id, outcome, owner, taken, prob, row_number() OVER (PARTITION BY outcome ORDER BY md5(s1_id || '|' || cand_id || '|0'), s1_id, cand_id) AS n FROM outcomes WHERE outcome <> 'tp') e JOIN norm a ON a.entity_id = e.s1_id JOIN norm b ON b.entity_id = e.cand_id WHERE n <= 10",
+        "outcomes",
+        "norm",
+    ),
+)
 register("e11_countries", lambda spark, d: fx.records(spark, d).groupBy("source", "country").agg(F.count("*").alias("n")), o.sql("SELECT source, country, count(*) AS n FROM records GROUP BY ALL", "records"))
 register("e11_match_histogram", lambda spark, d: _s1(spark, d).join(fx.truth(spark, d).groupBy("s1_id").agg(F.count("*").alias("k")), "s1_id", "left").na.fill(0).groupBy("k").agg(F.count("*").alias("n")), o.sql("SELECT coalesce(k, 0) AS k, count(*) AS n FROM s1 LEFT JOIN (SELECT s1_id, count(*) AS k FROM truth GROUP BY ALL) USING (s1_id) GROUP BY ALL", "s1", "truth"))
 register("e11_source_mix", lambda spark, d: fx.truth(spark, d).groupBy(F.substring("cand_id", 1, 2).alias("source")).agg(F.count("*").alias("n")), o.sql("SELECT substr(cand_id, 1, 2) AS source, count(*) AS n FROM truth GROUP BY ALL", "truth"))
@@ -504,3 +566,15 @@ def _trained(spark: SparkSession, d: str):
 
 register("m01_train_and_score", lambda spark, d: model.score(_trained(spark, d), fx.featured(spark, d)))
 register("m05_importances", lambda spark, d: spark.createDataFrame(model.importances(_trained(spark, d)), "feature string, gain double"))
+
+
+def _reloaded(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a saved and loaded model gives each pair the score that the model gave; a few rounds are enough for that."""
+    before, path = model.train(_labelled(spark, d), rounds=3), scratch(spark, "model")
+    model.save(before, path)
+    pairs = fx.featured(spark, d)
+    after = model.score(model.load(path), pairs).withColumnRenamed("prob", "loaded")
+    return model.score(before, pairs).join(after, ["s1_id", "cand_id"]).select("s1_id", "cand_id", (F.col("prob") == F.col("loaded")).alias("same"))
+
+
+register("s11_model_reload", _reloaded, o.sql("SELECT s1_id, cand_id, TRUE AS same FROM cand", "cand"))
