@@ -57,3 +57,9 @@ PHRASES = [
 ALIAS = r"\b[fad]\s*/?\s*[kb]\s*/?\s*a\b"
 ORDINAL = r"^\d+(st|nd|rd|th|er|e|eme)$"
 LEET_FROM, LEET_TO = "01345", "oieas"
+
+#: Transliteration by Unicode names: what the names of letters don't say themselves.
+INDIAN_SCRIPTS = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM")
+INDIAN_SIGNS = {"ANUSVARA": "n", "CANDRABINDU": "n", "BINDI": "n", "VISARGA": "h", "TIPPI": "n"}
+CYRILLIC_VOWELS = {"a": "a", "ie": "e", "io": "yo", "i": "i", "short i": "y", "o": "o", "u": "u", "yeru": "y", "e": "e", "yu": "yu", "ya": "ya", "yi": "yi", "ukrainian ie": "ye", "byelorussian-ukrainian i": "i"}
+GREEK_LETTERS = {"theta": "th", "phi": "ph", "chi": "ch", "psi": "ps", "xi": "x", "eta": "i", "upsilon": "y"}

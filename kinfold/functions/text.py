@@ -6,6 +6,7 @@ Everything but to_ascii stays in the JVM and in whole-stage code generation.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -15,18 +16,51 @@ from pyspark.sql import functions as F
 from . import tables
 
 
+@functools.lru_cache(maxsize=1 << 16)
+def _letter(c: str) -> str:
+    """A character that doesn't decompose, spelled by its Unicode name: letters of Indian scripts, Cyrillic and Greek, and digits."""
+    if (digit := unicodedata.digit(c, None)) is not None:
+        return str(digit)
+    script, _, rest = unicodedata.name(c, "").partition(" ")
+    letter = rest.rpartition("LETTER ")[2].rpartition("VOWEL SIGN ")[2]
+    if script in tables.INDIAN_SCRIPTS:
+        if "LETTER " not in rest and "VOWEL SIGN " not in rest:
+            return tables.INDIAN_SIGNS.get(rest.rpartition("SIGN ")[2], "")
+        # consonants lose the vowel of their name; doubled letters mark length or place and count once
+        letter = letter.split(" ")[-1].lower()
+        bare = letter[:-1] if letter.endswith("a") and letter.strip("aeiou") else letter
+        out = re.sub(r"(.)\1+", r"\1", bare)
+    elif script == "CYRILLIC":
+        letter = letter.lower()
+        out = tables.CYRILLIC_VOWELS.get(letter)
+        if out is None:
+            out = re.sub("[aeiou]", "", letter) if " " not in letter else ""
+    elif script == "GREEK":
+        letter = letter.split(" WITH ")[0].removeprefix("FINAL ").lower()
+        out = tables.GREEK_LETTERS.get(letter, letter[:1])
+    else:
+        return ""
+    return out.title() if "CAPITAL" in rest else out
+
+
+def spell_ascii(x: str) -> str:
+    """x in ASCII: what Unicode decomposes by its base letters, other known letters by their names, the rest goes."""
+    if x.isascii():
+        return x
+    return "".join(c if c.isascii() else "" if 0x300 <= ord(c) < 0x370 else _letter(c) for c in unicodedata.normalize("NFKD", x))
+
+
 @functools.lru_cache(maxsize=1)
 def _to_ascii():
     @F.arrow_udf("string")
     def to_ascii(texts: pa.Array) -> pa.Array:
-        fold = unicodedata.normalize
-        return pa.array([x if x is None or x.isascii() else fold("NFKD", x).encode("ascii", "ignore").decode() for x in texts.to_pylist()], pa.string())
+        return pa.array([None if x is None else spell_ascii(x) for x in texts.to_pylist()], pa.string())
 
     return to_ascii
 
 
 def to_ascii(c: Column) -> Column:
-    """Compatibility decomposition without what isn't ASCII afterwards. The one step that needs Python (Arrow)."""
+    """Letters spelled in ASCII (spell_ascii). The one step that needs Python (Arrow)."""
     return _to_ascii()(c)
 
 

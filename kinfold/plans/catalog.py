@@ -257,6 +257,17 @@ register(
     o.sql("SELECT a.s1_id, a.cand_id, a.rank, CASE WHEN t.cand_id IS NULL THEN 0 ELSE 1 END AS is_true FROM addr_cand a ANTI JOIN cand USING (s1_id, cand_id) LEFT JOIN truth t ON t.s1_id = a.s1_id AND t.cand_id = a.cand_id", "addr_cand", "cand", "truth"),
 )
 
+
+
+def _pairs_file(spark: SparkSession, d: str) -> DataFrame:
+    """The sink of new pairs: written as TSV and read back."""
+    rows, path = QUERIES["s09_new_pairs"](spark, d), scratch(spark, "pairs")
+    io.write_tsv(rows, path)
+    return io.read_tsv(spark, path, rows.schema)
+
+
+register("s09_pairs_file", _pairs_file, ORACLES["s09_new_pairs"])
+
 # ---- features (features 1 to 46, W1 to W7, F1 to F6, J2, J9, J12)
 
 

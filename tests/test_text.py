@@ -53,3 +53,8 @@ def test_block_text_and_pairs(spark):
 def test_empty_table(spark, ascii_only):
     df = spark.createDataFrame([], "business_name string, business_address string")
     assert text.add_normalized(df, ascii_only).collect() == []
+
+
+def test_letters_of_other_scripts_are_spelled():
+    cases = {"कंपनी": "knpni", "दिल्ली": "dilli", "மதுரை": "mturai", "Москва": "Moskva", "Щука": "Shchuka", "Αθήνα": "Athina", "Σοφία": "Sophia", "१२३": "123", "Café №5": "Cafe No5", "東京 x": " x", "straße": "strae", "": ""}
+    assert {x: text.spell_ascii(x) for x in cases} == cases
