@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from kinfold.functions import similarity as sim
 from kinfold.functions.text import words_of
 
+# The names and the order of the model's columns.
 CONTEXT = ["score", "rank", "score_ratio_to_top", "n_s1_competitors", "is_best_s1_for_cand", "cand_is_s3", "name_exact", "cand_n_same_name_s1", "s1_n_same_name_cands"]
 STRINGS = [
     "name_ratio", "name_token_sort", "name_token_set", "name_partial", "name_nospace",

@@ -5,6 +5,7 @@ Every document is a record: its words give a name and an address, doc_id its sou
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,9 +20,19 @@ from kinfold.operators import blocking
 _STAGES: dict[tuple[str, str, str], str] = {}
 
 
+@functools.lru_cache(maxsize=1)
+def own_dir() -> str:
+    """A folder of this process, for local masters."""
+    return "file://" + tempfile.mkdtemp(prefix="kinfold-")
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, or in a local one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="kinfold-")
+    """A fresh path in the shared folder (spark.checkpoint.dir). Only a local master may go without one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = own_dir()
     return f"{base.rstrip('/')}/scratch/{label}-{uuid.uuid4().hex}"
 
 
