@@ -1,12 +1,15 @@
 """Media columns (operator 7): payloads in AVI motion-JPEG, read back by the RIFF index.
 
-A payload is cut into blocks of 64 bytes, a JPEG's unit. A block's 64 quantised coefficients are 256 plus its bytes, so
-each has ten bits after entropy coding (a one-bit Huffman code and nine value bits) and nothing is lost; a restart
-marker after each block resets the prediction of the first coefficient. Frames are intra frames of SIDE x SIDE blocks;
-the last one is padded with zero blocks. The length of the payload is kept in the file's INFO list.
-
-Shots are found by histogram differences of neighbouring frames: a cut is where the difference is over the mean plus
-THRESHOLD deviations of the differences so far in the shot, and over FLOOR.
+A payload is cut into blocks of 64 bytes, a JPEG's unit. A block's 64 quantised coefficients are those whose eight value
+bits are its bytes (category 8: 128 to 255, and -255 to -128 for bytes under 128), so each has nine bits after entropy
+coding (a Huffman code of one bit before them) and nothing is lost; a restart marker after each block resets the
+prediction of the first coefficient. Frames are intra frames of SIDE x SIDE blocks; the last one is padded with zero
+blocks. The length of the payload is kept in the file's INFO list.
+
+Clips are found in any AVI motion-JPEG file: frames by the RIFF index, or in the order of their chunks where there is
+none, decoded to brightness (jpeg.brightness). Shots are found by histogram differences of neighbouring frames: a cut is
+where the difference is over the mean plus THRESHOLD deviations of the differences so far in the shot, and over FLOOR.
+A frame that can't be decoded shows the picture before it, as a player does, and is counted as broken.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jpeg
 from .common import slices
 
 SIDE, FPS, UNIT = 4, 25, 64
 PER_FRAME = SIDE * SIDE
 THRESHOLD, FLOOR, BINS = 3.0, 0.15, 16
-#: Each block: 64 times ten bits, then a restart marker.
-BLOCK_BYTES = 80
+#: Each block: 64 times nine bits, then a restart marker.
+BITS, BLOCK_BYTES = 9, 72
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -35,8 +39,8 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 
 def jpeg_head() -> bytes:
-    """Start of image, unit quantisation, frame, Huffman tables of one code each (symbol 9), restart interval 1, scan."""
-    table = bytes([1] + [0] * 15 + [9])
+    """Start of image, unit quantisation, frame, Huffman tables of one code each (symbol 8), restart interval 1, scan."""
+    table = bytes([1] + [0] * 15 + [8])
     return b"".join(
         [
             b"\xff\xd8",
@@ -60,11 +64,10 @@ def encode_frames(payload: bytes) -> list[bytes]:
     frames = -(-len(raw) // (UNIT * PER_FRAME))
     data = np.zeros(frames * UNIT * PER_FRAME, np.uint8)
     data[: len(raw)] = raw
-    # bits of a coefficient: Huffman code 0, then 256 + byte in nine bits: 1 and the byte
-    bits = np.zeros((len(data), 10), np.uint8)
-    bits[:, 1] = 1
-    bits[:, 2:] = np.unpackbits(data[:, None], axis=1)
-    blocks = np.packbits(bits.reshape(-1, UNIT * 10), axis=1).reshape(frames, PER_FRAME, BLOCK_BYTES)
+    # bits of a coefficient: Huffman code 0, then its byte
+    bits = np.zeros((len(data), BITS), np.uint8)
+    bits[:, 1:] = np.unpackbits(data[:, None], axis=1)
+    blocks = np.packbits(bits.reshape(-1, UNIT * BITS), axis=1).reshape(frames, PER_FRAME, BLOCK_BYTES)
     out = []
     for frame in blocks:
         full = (frame == 0xFF).any()
@@ -74,7 +77,7 @@ def encode_frames(payload: bytes) -> list[bytes]:
 
 
 def decode_frame(jpeg: bytes) -> np.ndarray:
-    """The bytes of a frame's blocks, (PER_FRAME, 64), from its entropy-coded coefficients."""
+    """The bytes of an own frame's blocks, (PER_FRAME, 64): the value bits of its coefficients."""
     if not jpeg.startswith(HEAD):
         raise ValueError("not a frame of this profile")
     scan = np.frombuffer(jpeg, np.uint8, offset=len(HEAD))
@@ -83,10 +86,16 @@ def decode_frame(jpeg: bytes) -> np.ndarray:
     keep = np.ones(len(scan), bool)
     keep[at + 1] = False  # stuffed zeros and marker codes
     keep[at[after != 0]] = False  # the markers themselves
-    bits = np.unpackbits(scan[keep]).reshape(PER_FRAME * UNIT, 10)
-    if bits[:, 0].any() or not bits[:, 1].all():
+    bits = np.unpackbits(scan[keep])
+    if len(bits) != PER_FRAME * UNIT * BITS or bits[::BITS].any():
         raise ValueError("a code that isn't in the Huffman table")
-    return np.packbits(bits[:, 2:], axis=1).reshape(PER_FRAME, UNIT)
+    return np.packbits(bits.reshape(-1, BITS)[:, 1:], axis=1).reshape(PER_FRAME, UNIT)
+
+
+def own_pictures(blocks: np.ndarray) -> np.ndarray:
+    """Brightness of own blocks, (n, 64): their coefficients are dequantised by one and go through the inverse DCT."""
+    held = blocks.astype(np.int16)
+    return jpeg.samples(np.where(held < 128, held - 255, held))
 
 
 def _chunk(name: bytes, body: bytes) -> bytes:
@@ -112,36 +121,92 @@ def encode_avi(payload: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", len(body)) + body
 
 
-def parse_avi(data: bytes) -> tuple[list[bytes], int, float]:
-    """Frames by the RIFF index, the payload's length, and frames a second."""
+def parse_avi(data: bytes) -> tuple[list[bytes], int | None, float]:
+    """Video frames, the payload's length (None if no INFO comment tells it), and frames a second.
+
+    Frames are those of the RIFF index, whose places count from the movi list or from the file's start, or the chunks of
+    the movi list where there is no index. ValueError where the file is no AVI file.
+    """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    at, movi, index, length, rate = 12, 0, b"", 0, float(FPS)
-    while at + 8 <= len(data):
+    try:
+        return _parse_avi(data)
+    except struct.error as fault:
+        raise ValueError("a broken AVI file") from fault
+
+
+def _chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """(name, start, end) of the chunks in a range; the last one may be cut short."""
+    end = min(end, len(data))
+    while at + 8 <= end:
         name, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
-        kind = data[at + 8 : at + 12]
-        if name == b"LIST" and kind == b"movi":
-            movi = at + 8
-        elif name == b"LIST" and kind == b"INFO":
-            n = struct.unpack_from("<I", data, at + 16)[0]
-            length = int(data[at + 20 : at + 20 + n])
-        elif name == b"LIST" and kind == b"hdrl":
-            rate = 1_000_000 / struct.unpack_from("<I", data, at + 20)[0]
-        elif name == b"idx1":
-            index = data[at + 8 : at + 8 + size]
+        yield name, at + 8, min(end, at + 8 + size)
         at += 8 + size + size % 2
-    frames = []
-    for i in range(0, len(index), 16):
-        _, _, offset, size = struct.unpack_from("<4sIII", index, i)
-        frames.append(data[movi + offset + 8 : movi + offset + 8 + size])
-    return frames, length, rate
 
 
-def shots(blocks: list[np.ndarray]) -> list[tuple[int, int, float]]:
+def _is_video(name: bytes) -> bool:
+    return name[2:] in (b"dc", b"db")
+
+
+def _movie(data: bytes, at: int, end: int) -> Iterator[bytes]:
+    """Video chunks of a movi list in their order, those of its rec lists too."""
+    for name, a, b in _chunks(data, at, end):
+        if name == b"LIST":
+            yield from _movie(data, a + 4, b)
+        elif _is_video(name):
+            yield data[a:b]
+
+
+def _parse_avi(data: bytes) -> tuple[list[bytes], int | None, float]:
+    movi, index, length, rate = None, None, None, float(FPS)
+    for name, a, b in _chunks(data, 12, len(data)):
+        kind = data[a : a + 4] if name == b"LIST" else b""
+        if kind == b"movi":
+            movi = movi or (a, b)
+        elif kind == b"INFO":
+            for inner, x, y in _chunks(data, a + 4, b):
+                told = data[x:y].rstrip(b"\0")
+                if inner == b"ICMT" and told.isdigit():
+                    length = int(told)
+        elif kind == b"hdrl":
+            for inner, x, y in _chunks(data, a + 4, b):
+                micros = struct.unpack_from("<I", data, x)[0] if inner == b"avih" else 0
+                rate = 1_000_000 / micros if micros else rate
+        elif name == b"idx1":
+            index = data[a : a + (b - a) // 16 * 16]
+    if movi is None:
+        raise ValueError("no movi list")
+    entries = [x for x in struct.iter_unpack("<4sIII", index or b"") if _is_video(x[0])]
+    if not entries:
+        return list(_movie(data, movi[0] + 4, movi[1])), length, rate
+    name, _, offset, _ = entries[0]
+    base = movi[0] if data[movi[0] + offset :][:4] == name else 0
+    return [data[base + offset + 8 : base + offset + 8 + size] for _, _, offset, size in entries], length, rate
+
+
+def histogram(pictures: np.ndarray) -> np.ndarray:
+    """Shares of BINS equal ranges of brightness."""
+    return np.bincount(pictures.ravel() >> 4, minlength=BINS) / pictures.size
+
+
+def histograms(frames: list[bytes]) -> tuple[np.ndarray, list[bool]]:
+    """(frames, BINS) of each frame's picture, and which frames can't be decoded; these show the picture before them."""
+    out, broken, last = [], [], None
+    for x in frames:
+        try:
+            last = histogram(own_pictures(decode_frame(x)) if x.startswith(HEAD) else jpeg.brightness(x))
+            broken.append(False)
+        except ValueError:
+            broken.append(True)
+        out.append(last)
+    first = next((x for x in out if x is not None), np.zeros(BINS))
+    return np.array([first if x is None else x for x in out]).reshape(-1, BINS), broken
+
+
+def shots(hist: np.ndarray) -> list[tuple[int, int, float]]:
     """(first frame, end frame, largest difference within) of each shot, by adaptive histogram differences."""
-    if not blocks:
+    if not len(hist):
         return []
-    hist = np.stack([np.bincount(x.ravel() >> 4, minlength=BINS) for x in blocks]) / (PER_FRAME * UNIT)
     diffs = np.abs(np.diff(hist, axis=0)).sum(1) / 2
     out, first, n, total, square, most = [], 0, 0, 0.0, 0.0, 0.0
     for i, d in enumerate(diffs.tolist(), 1):
@@ -152,7 +217,7 @@ def shots(blocks: list[np.ndarray]) -> list[tuple[int, int, float]]:
             first, n, total, square, most = i, 0, 0.0, 0.0, 0.0
         else:
             n, total, square, most = n + 1, total + d, square + d * d, max(most, d)
-    return [*out, (first, len(blocks), most)]
+    return [*out, (first, len(hist), most)]
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -162,7 +227,10 @@ def payload_of(text: str | None) -> tuple[int, bytes]:
 
 
 def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media) of every row: the AVI file of its text's payload."""
+    """(id, n_bytes, media) of every row: the AVI file of its text's payload.
+
+    Null and empty texts hold 64 zeros; repeated rows give equal rows; other columns are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
@@ -173,34 +241,48 @@ def encode_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
+def clip_rows(data: bytes) -> list[tuple]:
+    """(clip, start_s, end_s, frames, peak, broken, error) of a file."""
+    try:
+        frames, _, rate = parse_avi(data)
+    except ValueError as fault:
+        return [(None, None, None, 0, None, 0, str(fault))]
+    if not frames:
+        return [(None, None, None, 0, None, 0, "no frames")]
+    hist, broken = histograms(frames)
+    return [(k, a / rate, b / rate, b - a, m, sum(broken[a:b]), None) for k, (a, b, m) in enumerate(shots(hist))]
+
+
 def clips(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Timed clip rows of a media column: id, clip, start_s, end_s, frames, peak. Null media gives none."""
+    """Timed clip rows of a media column: id, clip, start_s, end_s, frames, peak, broken, error.
+
+    Null media gives no row; a file that is no AVI file or has no frames gives one row with the error and no clip; frames
+    that can't be decoded are counted in broken. Repeated rows give their clips again; other columns are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, data in zip(batch.column("id").to_pylist(), batch.column("media").to_pylist()):
-                if data is not None:
-                    frames, _, rate = parse_avi(data)
-                    rows += [(i, k, a / rate, b / rate, b - a, m) for k, (a, b, m) in enumerate(shots([decode_frame(x) for x in frames]))]
-            names, kinds = ["id", "clip", "start_s", "end_s", "frames", "peak"], [batch.schema.field("id").type, pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64()]
+        for batch in slices(batches, "media", 16 << 20):
+            rows = [(i, *r) for i, data in zip(batch.column("id").to_pylist(), batch.column("media").to_pylist()) if data is not None for r in clip_rows(data)]
+            names = ["id", "clip", "start_s", "end_s", "frames", "peak", "broken", "error"]
+            kinds = [batch.schema.field("id").type, pa.int32(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], names)
 
     source = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, clip int, start_s double, end_s double, frames int, peak double").withColumnRenamed("id", id_col)
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, clip int, start_s double, end_s double, frames int, peak double, broken int, error string").withColumnRenamed("id", id_col)
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Read a media column (doc_id, n_bytes, media) back: payload and media digests, and the clips as a feature string."""
+    """Read an own media column (doc_id, n_bytes, media) back: payload and media digests, and the clips as a feature string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for data in batch.column("media").to_pylist():
                 frames, length, rate = parse_avi(data)
-                blocks = [decode_frame(x) for x in frames]
-                payload = b"".join(x.tobytes() for x in blocks)[:length]
-                text = f"frames={len(frames)};clips=" + ",".join(f"{a / rate:.2f}-{b / rate:.2f}:{m:.4f}" for a, b, m in shots(blocks))
+                blocks = np.stack([decode_frame(x) for x in frames])
+                payload = blocks.tobytes()[:length]
+                hist = np.array([histogram(own_pictures(x)) for x in blocks])
+                text = f"frames={len(frames)};clips=" + ",".join(f"{a / rate:.2f}-{b / rate:.2f}:{m:.4f}" for a, b, m in shots(hist))
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), text))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays(
