@@ -1,11 +1,13 @@
 """Token-ID / binary output (operator 5): Arrow stream files of fixed-size-list batches.
 
-Documents are range-partitioned by id. Each partition is one shard: an Arrow IPC stream whose record batches hold two
-columns, `ids` fixed_size_list<uint16>[SEQ] (uint32 for vocabularies over 65,536 ids) and `mask`
-fixed_size_list<bool>[SEQ], packed without gaps; only a shard's last sequence is padded (mask false). As every value has a fixed width, the n-th id of a shard lies in batch
-n // (SEQ * ROWS) at a fixed place, so a reader maps the file and slices without copying. A manifest table holds each
-document's shard, place and length. Shards are written to a temporary name and moved, so a repeated task leaves the
-same file.
+Documents are range-partitioned by id. Each partition is one shard: an Arrow IPC stream whose record batches hold three
+columns, `ids` fixed_size_list<uint16>[SEQ] (uint32 for vocabularies over 65,536 ids), `mask` fixed_size_list<bool>[SEQ]
+and `last` fixed_size_list<bool>[SEQ], which marks the last id of each document. Documents are packed without gaps; only a
+shard's last sequence is padded (mask false). As every value has a fixed width, all full batches are equally long, so the
+n-th id of a shard lies at a place that is known without reading what is before it: a reader maps the file, or seeks in a
+remote one, and slices without copying. A second stream beside it holds the ids of the shard's documents in their order.
+The manifest has one row a shard. Files are written to a temporary name and moved, so a repeated task leaves the same
+files.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,11 @@ CACHE = 600_000
 LETTERS = "^[a-zÀ-ÖØ-öø-į]+[.,]?$"
 #: Bytes of text whose distinct words are looked up together, and words whose ids are gathered together.
 SLICE, GATHER = 24 << 20, 1 << 19
-SHARD_BYTES = 32 << 20
-MANIFEST = "shard int, path string, doc_id long, local_start long, n_tokens long"
+#: Text bytes of a shard; shards of very large tables are larger, so that there are at most MOST_SHARDS.
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 1 << 16
+#: Rows of a batch that is read back, and shards whose starts are counted together.
+DOCS, RANGE = 1 << 14, 1 << 12
+MANIFEST = "shard int, path string, n_docs long, n_ids long"
 
 
 class WordEncoder:
@@ -147,71 +153,113 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+class _Stream:
+    """An Arrow stream file under a temporary name until it is closed."""
+
+    def __init__(self, where, final: str, schema: pa.Schema):
+        self.fs, self.final, self.temporary = where, final, f"{final}.{uuid.uuid4().hex}.tmp"
+        self.file = where.open_output_stream(self.temporary)
+        self.stream = pa.ipc.new_stream(self.file, schema)
+
+    def close(self) -> None:
+        """End the stream and move the file to its place."""
+        self.stream.close()
+        self.file.close()
+        self.fs.move(self.temporary, self.final)
+
+
+def documents_of(uri: str) -> str:
+    """The file of a shard's document ids."""
+    return f"{uri.removesuffix('.arrows')}.docs.arrows"
+
+
 class ShardWriter:
-    """Packs ids into the stream file of one shard."""
+    """Packs ids into the stream file of one shard, and the ids of its documents into another."""
 
     def __init__(self, folder: str, shard: int, kind: np.dtype):
         self.kind, self.wide = kind, kind.itemsize
-        self.fs, base = filesystem(folder)
-        self.fs.create_dir(base, recursive=True)
-        self.final = f"{base}/shard-{shard:06d}.arrows"
-        self.temporary = f"{self.final}.{uuid.uuid4().hex}.tmp"
-        self.uri = f"{folder}/shard-{shard:06d}.arrows"
-        self.file = self.fs.open_output_stream(self.temporary)
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), SEQ)), ("mask", pa.list_(pa.bool_(), SEQ))])
-        self.stream = pa.ipc.new_stream(self.file, self.schema)
+        where, base = filesystem(folder)
+        where.create_dir(base, recursive=True)
+        name = f"shard-{shard:06d}.arrows"
+        self.uri = f"{folder}/{name}"
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), SEQ)), ("mask", pa.list_(pa.bool_(), SEQ)), ("last", pa.list_(pa.bool_(), SEQ))])
+        self.docs = pa.schema([("doc_id", pa.int64())])
+        self.out, self.index = _Stream(where, f"{base}/{name}", self.schema), _Stream(where, documents_of(f"{base}/{name}"), self.docs)
         self.held: list[bytes] = []
-        self.size = self.total = 0
-
-    def add(self, raw: bytes) -> int:
-        """Append one document's ids; its place in the shard is returned."""
-        at = self.total
-        self.held.append(raw)
-        self.size += len(raw) // self.wide
-        self.total += len(raw) // self.wide
-        if self.size >= SEQ * ROWS:
-            self.flush(False)
-        return at
-
-    def flush(self, last: bool) -> None:
+        #: Places behind the last ids of documents, counted from the first id that is held
+        self.ends: list[int] = []
+        self.size = self.total = self.n_docs = 0
+
+    def add(self, doc_ids: pa.Array, raws: list[bytes]) -> None:
+        """Append documents; each has one id at least."""
+        self.index.stream.write_batch(pa.record_batch([doc_ids], schema=self.docs))
+        self.n_docs += len(raws)
+        for raw in raws:
+            n = len(raw) // self.wide
+            self.held.append(raw)
+            self.size += n
+            self.total += n
+            self.ends.append(self.size)
+            if self.size >= SEQ * ROWS:
+                self.flush(False)
+
+    def flush(self, final: bool) -> None:
         """Write full batches; at the end the rest as well, padded."""
         ids = np.frombuffer(b"".join(self.held), self.kind)
+        last = np.zeros(len(ids), bool)
+        last[np.array(self.ends, np.int64) - 1] = True
         step = SEQ * ROWS
         full = len(ids) // step * step
         for i in range(0, full, step):
-            self.batch(ids[i : i + step], np.ones(step, bool))
-        ids = ids[full:]
-        if last and len(ids):
-            n = -len(ids) % SEQ
-            self.batch(np.r_[ids, np.zeros(n, self.kind)], np.r_[np.ones(len(ids), bool), np.zeros(n, bool)])
-            ids = ids[:0]
-        self.held, self.size = [ids.tobytes()], len(ids)
-
-    def batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
+            self.batch(ids[i : i + step], np.ones(step, bool), last[i : i + step])
+        ids, last = ids[full:], last[full:]
+        if final and len(ids):
+            pad = np.zeros(-len(ids) % SEQ, bool)
+            self.batch(np.r_[ids, pad.astype(self.kind)], np.r_[np.ones(len(ids), bool), pad], np.r_[last, pad])
+            ids, last = ids[:0], last[:0]
+        self.held, self.size, self.ends = [ids.tobytes()], len(ids), (np.flatnonzero(last) + 1).tolist()
+
+    def batch(self, *columns: np.ndarray) -> None:
         """One record batch of whole sequences."""
-        self.stream.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(ids), SEQ), pa.FixedSizeListArray.from_arrays(pa.array(mask), SEQ)], schema=self.schema))
+        self.out.stream.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), SEQ) for x in columns], schema=self.schema))
 
     def close(self) -> None:
-        """Write what is left and move the file to its place."""
+        """Write what is left and move the files to their places."""
         self.flush(True)
-        self.stream.close()
-        self.file.close()
-        self.fs.move(self.temporary, self.final)
+        self.index.close()
+        self.out.close()
 
 
 class ShardReader:
-    """Random access to the ids of one shard; local files are mapped, others read once."""
+    """Access to one shard: any ids, any sequence, or all documents one after another.
+
+    Local files are mapped; of others only the batches that are asked for are read.
+    """
 
     def __init__(self, uri: str):
         from pyarrow import fs
 
         where, path = filesystem(uri)
-        source = pa.memory_map(path) if isinstance(where, fs.LocalFileSystem) else where.open_input_file(path)
-        held = list(pa.ipc.open_stream(source))
-        self.batches = [b.column("ids").flatten().to_numpy() for b in held]
-        masks = [b.column("mask").flatten() for b in held]
+        self.where, self.path = where, path
+        self.source = pa.memory_map(path) if isinstance(where, fs.LocalFileSystem) else where.open_input_file(path)
+        self.schema = pa.ipc.read_schema(pa.ipc.read_message(self.source))
+        self.first = self.source.tell()
+        self.length, self.n_batches, self.at, self.now = 0, 0, -1, None
+        # the end of a stream takes eight bytes
+        if self.source.size() - 8 > self.first:
+            pa.ipc.read_message(self.source)
+            self.length = self.source.tell() - self.first
+            self.n_batches = -(-(self.source.size() - 8 - self.first) // self.length)
         #: ids before the padding, which only the last batch can have
-        self.size = sum(map(len, self.batches)) - (len(masks[-1]) - (masks[-1].true_count or 0) if masks else 0)
+        self.size = (self.n_batches - 1) * SEQ * ROWS + self.batch(self.n_batches - 1)[1].true_count if self.n_batches else 0
+
+    def batch(self, k: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """Ids, mask and last marks of the k-th batch; the batch of the last call is kept."""
+        if k != self.at:
+            self.source.seek(self.first + k * self.length)
+            held = pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+            self.at, self.now = k, tuple(held.column(c).flatten() for c in ("ids", "mask", "last"))
+        return self.now
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """n ids from start on; a slice of the map where they lie in one batch."""
@@ -221,10 +269,29 @@ class ShardReader:
         while n:
             a = start % step
             m = min(n, step - a)
-            parts.append(self.batches[start // step][a : a + m])
+            parts.append(self.batch(start // step)[0].to_numpy()[a : a + m])
             start, n = start + m, n - m
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
+    def digests(self) -> Iterator[tuple[int, int, int]]:
+        """(start, number of ids, crc32 of them as 32-bit integers) of the documents, by the marks in the file."""
+        crc = begin = base = 0
+        for k in range(self.n_batches):
+            ids, _, last = self.batch(k)
+            raw = memoryview(ids.to_numpy().astype("<u4").tobytes())
+            at = 0
+            for end in (np.flatnonzero(last.to_numpy(zero_copy_only=False)) + 1).tolist():
+                yield begin, base + end - begin, zlib.crc32(raw[4 * at : 4 * end], crc)
+                crc, begin, at = 0, base + end, end
+            crc = zlib.crc32(raw[4 * at :], crc)
+            base += len(ids)
+
+    def doc_ids(self) -> Iterator[int | None]:
+        """Ids of the shard's documents in their order."""
+        with self.where.open_input_file(documents_of(self.path)) as source:
+            for batch in pa.ipc.open_stream(source):
+                yield from batch.column("doc_id").to_pylist()
+
 
 def write(df: DataFrame, vocabulary: str, folder: str, shards: int, end_id: int = END_ID) -> DataFrame:
     """Write all documents in ascending doc_id order; the manifest (MANIFEST) is written beside the shards and returned."""
@@ -234,50 +301,49 @@ def write(df: DataFrame, vocabulary: str, folder: str, shards: int, end_id: int
 
         shard = TaskContext.get().partitionId()
         encoder, out = loaded(vocabulary), None
-        kind = encoder.kind
-        end = np.array([end_id], kind).tobytes()
+        end = np.array([end_id], encoder.kind).tobytes()
         for batch in slices(batches, "text", SLICE):
-            out = out or ShardWriter(folder, shard, kind)
-            raws = [x + end for x in encoder.encode(batch.column("text"))]
-            starts = [out.add(x) for x in raws]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int32()), pa.array([out.uri] * n), batch.column("doc_id"), pa.array(starts, pa.int64()), pa.array([len(x) // kind.itemsize for x in raws], pa.int64())], ["shard", "path", "doc_id", "local_start", "n_tokens"])
+            out = out or ShardWriter(folder, shard, encoder.kind)
+            out.add(batch.column("doc_id"), [x + end for x in encoder.encode(batch.column("text"))])
         if out:
             out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([out.uri]), pa.array([out.n_docs], pa.int64()), pa.array([out.total], pa.int64())], ["shard", "path", "n_docs", "n_ids"])
 
     source = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     source.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return df.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
-def read_back(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    sizes = manifest.groupBy("shard").agg(F.sum("n_tokens").alias("m"))
-    # one row a shard: shards are files of SHARD_BYTES of text, so their number stays small
-    before = sizes.select("shard", F.coalesce(F.sum("m").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+def read_back(manifest: DataFrame, shards: int) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; the manifest tells the order of shards only.
+
+    The ids before a shard are counted in two steps: within ranges of RANGE shards, and over the ranges.
+    """
+    ranged = manifest.withColumn("range", F.floor(F.col("shard") / RANGE))
+    ranges = ranged.groupBy("range").agg(F.sum("n_ids").alias("m"))
+    ranges = ranges.select("range", F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("n_ids").over(Window.partitionBy("range").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("within", within).join(ranges, "range").select("path", (F.col("base") + F.col("within")).cast("long").alias("before"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        opened, reader = None, None
         for batch in batches:
-            crc = []
-            for path, start, n in zip(*(batch.column(c).to_pylist() for c in ("path", "local_start", "n_tokens"))):
-                if path != opened:
-                    opened, reader = path, ShardReader(path)
-                crc.append(zlib.crc32(reader.ids(start, n).astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            for path, before in zip(batch.column("path").to_pylist(), batch.column("before").to_pylist()):
+                reader = ShardReader(path)
+                rows = ((i, before + at, n, crc) for i, (at, n, crc) in zip(reader.doc_ids(), reader.digests(), strict=True))
+                while some := list(islice(rows, DOCS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*some)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = manifest.join(F.broadcast(before), "shard").withColumn("start", (F.col("before") + F.col("local_start")).cast("long"))
-    return placed.select("path", "doc_id", "local_start", "start", "n_tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(shards).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(df: DataFrame, vocabulary: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the token files of a table of documents and return what reading them back gives.
 
     Null and empty texts hold the end id alone; rows that repeat a doc_id follow one another; an empty table writes no
-    shard and gives no rows; other columns are not looked at. A shard holds about shard_bytes of text, whatever the
-    size of the table.
+    shard and gives no rows; other columns are not looked at. A shard holds about shard_bytes of text, more where there
+    would be over MOST_SHARDS of them.
     """
     total = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     folder = new_path(df.sparkSession, "tokens")
-    least = df.sparkSession.sparkContext.defaultParallelism
-    return read_back(write(df, vocabulary, folder, max(least, -(-total // shard_bytes)), end_id))
+    shards = max(df.sparkSession.sparkContext.defaultParallelism, min(MOST_SHARDS, -(-total // shard_bytes)))
+    return read_back(write(df, vocabulary, folder, shards, end_id), shards)

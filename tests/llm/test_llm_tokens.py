@@ -157,13 +157,32 @@ def test_token_files_on_edges(spark):
     assert token_files.token_files(edge_table(spark).limit(0), WORDS).collect() == []
 
 
-def test_reader_is_zero_copy_within_a_batch(spark, tmp_path):
+def shard_of(tmp_path, docs):
     writer = token_files.ShardWriter(f"file://{tmp_path}", 0, np.dtype("<u2"))
-    ids = np.arange(token_files.SEQ * token_files.ROWS + 10, dtype="<u2")
-    writer.add(ids.tobytes())
+    writer.add(pa.array(range(len(docs)), pa.int64()), [x.tobytes() for x in docs])
     writer.close()
-    reader = token_files.ShardReader(f"file://{tmp_path}/shard-000000.arrows")
+    return token_files.ShardReader(f"file://{tmp_path}/shard-000000.arrows")
+
+
+def test_reader_is_zero_copy_within_a_batch(tmp_path):
+    ids = np.arange(token_files.SEQ * token_files.ROWS + 10, dtype="<u2")
+    reader = shard_of(tmp_path, [ids])
     assert reader.size == len(ids) and not reader.ids(5, 100).flags.owndata
     assert (reader.ids(0, len(ids)) == ids).all()
     with pytest.raises(ValueError):
         reader.ids(len(ids) - 1, 2)
+
+
+def test_shards_tell_their_documents(tmp_path):
+    r = np.random.default_rng(2)
+    step = token_files.SEQ * token_files.ROWS
+    sizes = [1, 5, step - 6, 1, 3 * step + 7, *r.integers(1, 3000, 400).tolist(), 2 * step]
+    docs = [r.integers(0, 4, n).astype("<u2") for n in sizes]  # ids of documents have the end id within, too
+    reader = shard_of(tmp_path, docs)
+    starts = np.r_[0, np.cumsum(sizes)].tolist()
+    assert list(reader.doc_ids()) == list(range(len(docs))) and reader.n_batches == -(-starts[-1] // step)
+    assert list(reader.digests()) == [(a, len(x), zlib.crc32(x.astype("<u4").tobytes())) for a, x in zip(starts, docs)]
+    for k in r.permutation(len(docs)):
+        assert (reader.ids(starts[k], len(docs[k])) == docs[k]).all()
+    table = pa.ipc.open_stream(pa.memory_map(f"{tmp_path}/shard-000000.arrows")).read_all()
+    assert {n: str(t) for n, t in zip(table.schema.names, table.schema.types)} == {"ids": "fixed_size_list<item: uint16>[1024]", "mask": "fixed_size_list<item: bool>[1024]", "last": "fixed_size_list<item: bool>[1024]"}
