@@ -57,7 +57,8 @@ def unassigned() -> tuple[tuple[int, int], ...]:
 class Bpe:
     """A byte-level BPE vocabulary read from a tokenizers .json file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE):
+        self.most = words
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
         vocab, merges = held["model"]["vocab"], held["model"]["merges"]
@@ -81,8 +82,8 @@ class Bpe:
         self.merge_of[self.ranks] = self.made
         self.of_bytes = self.rank(np.repeat(self.first, 256), np.tile(self.first, 256)).reshape(256, 256)
         self.kind = np.dtype(np.uint16 if len(self.bytes) <= 1 << 16 else np.int32)
-        self.spaced = Known(lambda words: zip(words, self._raw([" " + w for w in words])), CACHE)
-        self.bare = Known(lambda words: zip(words, self._raw(words)), CACHE)
+        self.spaced = Known(lambda words: zip(words, self._raw([" " + w for w in words])), words)
+        self.bare = Known(lambda words: zip(words, self._raw(words)), words)
         self.path, self.library = path, None
         self.find = regex.compile(PATTERN).findall
         self.unknown = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in unassigned()) + "]").search
@@ -196,7 +197,7 @@ class Bpe:
         needed = set().union(*(span for spans in parts for span in spans)) - self.special.keys()
         missing = needed - cache.keys()
         if missing:
-            if len(cache) + len(missing) > CACHE:
+            if len(cache) + len(missing) > self.most:
                 cache.clear()
                 missing = needed
             cut_up = {p: self.words(p) for p in missing}
@@ -254,9 +255,9 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def loaded(path: str) -> Bpe:
-    """One vocabulary for each Python worker."""
-    return Bpe(path)
+def loaded(path: str, words: int = CACHE) -> Bpe:
+    """One vocabulary for each Python worker, with room for the ids of so many words."""
+    return Bpe(path, words)
 
 
 def lists(bpe: Bpe, texts: pa.Array) -> pa.Array:
@@ -279,13 +280,16 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     return source.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
-def encoded(df: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """df with a column ids (array<int>) of its text's ids; null text gives none."""
+def encoded(df: DataFrame, vocabulary: str, text_col: str = "text", words: int = CACHE, slice_bytes: int = SLICE) -> DataFrame:
+    """df with a column ids (array<int>) of its text's ids; null text gives none.
+
+    Fewer words that are held, and smaller slices of texts, take less memory and more time; ids are the same.
+    """
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        bpe, out = loaded(vocabulary), []
-        for batch in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", SLICE):
+        bpe, out = loaded(vocabulary, words), []
+        for batch in slices([pa.RecordBatch.from_arrays([texts], ["text"])], "text", slice_bytes):
             out.append(lists(bpe, batch.column("text")))
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
