@@ -23,6 +23,10 @@ LEAST_COSINE, HALF = 0.14, 300
 #: query's own.
 NEAR_PERCENT = 80
 
+#: Words whose ids a Python worker of the last stage holds, and bytes of text that it works on at a time: less than the
+#: operator's own, as whole rows pass beside them. Ids don't depend on either.
+WORDS, SLICE = 50_000, 4 << 20
+
 #: The language model and the near-duplicate search have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
@@ -94,7 +98,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     except AnalysisException:  # docs don't come from files
         placed = docs.withColumn(fresh("mix_file", taken), F.lit(None).cast("int")).withColumn(fresh("mix_row", taken), F.lit(None).cast("long"))
     held = placed.select(*[F.col(f"`{c}`").alias(renamed.get(c, c)) for c in docs.columns], F.col(fresh("mix_file", taken)).alias("mix_file"), F.col(fresh("mix_row", taken)).alias("mix_row"))
-    return bpe.encoded(held, public_tokenizers.path("byte_bpe_50k.json")).withColumn("n_tokens", F.size("ids").cast("long"))
+    return bpe.encoded(held, public_tokenizers.path("byte_bpe_50k.json"), words=WORDS, slice_bytes=SLICE).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
