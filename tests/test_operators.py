@@ -131,3 +131,22 @@ def test_model_queries_train_with_production_parameters(spark):
     assert (fitted.getMaxIter(), fitted.getMaxDepth(), fitted.getMinInstancesPerNode()) == (1000, 6, 50)
     assert 5 < fitted.getNumTrees < 1000  # the validation rows stop the boosting
     assert max(t.depth for t in fitted.trees) > 3
+
+
+def test_tsv_keeps_spaces_at_the_ends_of_cells(spark, tmp_path):
+    """A text without words gives a name such as " Pvt Ltd"; Spark's writer trims cells unless told otherwise."""
+    rows = [("S1_1", " Pvt Ltd", "No. 5  Rd ", " "), ("S2_2", "", "  ", "en"), ("S3_3", "a\\", "\\b \"c\" 'd'", "#")]
+    io.write_tsv(spark.createDataFrame(rows, io.RECORD), f"{tmp_path}/t")
+    assert sorted(tuple(r) for r in io.read_tsv(spark, f"{tmp_path}/t").collect()) == rows
+
+
+@pytest.mark.parametrize("name", ["s04_split_files"])
+def test_tsv_of_texts_without_words(spark, tmp_path, name):
+    import duckdb
+
+    spark.createDataFrame([(i, text, "en", i) for i, text in enumerate(["...", "", "a b c d e", "¿?", "न"] * 8)], "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    held = con.execute(catalog.ORACLES[name])
+    names = [c[0] for c in held.description]
+    assert sorted(tuple(r[c] for c in names) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(held.fetchall())
