@@ -140,7 +140,7 @@ def test_tsv_keeps_spaces_at_the_ends_of_cells(spark, tmp_path):
     assert sorted(tuple(r) for r in io.read_tsv(spark, f"{tmp_path}/t").collect()) == rows
 
 
-@pytest.mark.parametrize("name", ["s01_tsv_scan", "s04_split_files"])
+@pytest.mark.parametrize("name", ["s01_tsv_scan", "s03_index_scan", "s04_split_files"])
 def test_tsv_of_texts_without_words(spark, tmp_path, name):
     import duckdb
 
