@@ -150,3 +150,33 @@ def test_tsv_of_texts_without_words(spark, tmp_path, name):
     held = con.execute(catalog.ORACLES[name])
     names = [c[0] for c in held.description]
     assert sorted(tuple(r[c] for c in names) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(held.fetchall())
+
+
+def shuffle_files(spark):
+    """Shuffle files that are on the executors' disks (here the driver's) now."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+    return {x for x in found.split("\n") if "/shuffle_" in x}
+
+
+def test_stage_leaves_its_table_alone(spark, tmp_path, monkeypatch):
+    """What a stage stored on its way and its shuffle files go; before, they stayed on disk beside those of the query."""
+    monkeypatch.setattr(fx, "scratch", lambda spark, label: f"{tmp_path}/{label}")
+    before = shuffle_files(spark)
+    made = fx.stage(spark, "nowhere", "sums", lambda keep: keep(spark.range(100).repartition(3), "rows").groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("n")))
+    assert made.agg(F.sum("n")).first()[0] == 4950
+    assert [p.name for p in tmp_path.iterdir()] == ["sums"]
+    assert len({x for x in shuffle_files(spark) - before if x.endswith(".data")}) <= 1  # of the sum just above
+
+
+def test_search_stores_its_parts(spark):
+    """With keep, what is stored is what the search goes on with, and the candidates are the same."""
+    s1, index = (x.select("entity_id", "country", "terms") for x in fx.sides(spark, SF))
+    held = {}
+
+    def keep(df, label):
+        held[label] = spark.createDataFrame(df.collect(), df.schema)
+        return held[label]
+
+    got = {(r.s1_id, r.cand_id, r["rank"]) for r in blocking.block(s1, index, keep=keep).collect()}
+    assert got == {(r.s1_id, r.cand_id, r["rank"]) for r in blocking.block(s1, index).collect()} and got
+    assert set(held) == {"vocabulary", "s1_postings", "index_postings", "lists"}
