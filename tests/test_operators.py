@@ -180,3 +180,9 @@ def test_search_stores_its_parts(spark):
     got = {(r.s1_id, r.cand_id, r["rank"]) for r in blocking.block(s1, index, keep=keep).collect()}
     assert got == {(r.s1_id, r.cand_id, r["rank"]) for r in blocking.block(s1, index).collect()} and got
     assert set(held) == {"vocabulary", "s1_postings", "index_postings", "lists"}
+
+
+@pytest.mark.parametrize("name", ["j06_new_pairs", "s09_new_pairs"])
+def test_address_search_is_a_stage(spark, name):
+    """The query reads the pairs of the address search; before, it ran the search with all its shuffles beside its own."""
+    assert "FlatMapGroupsInArrow" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
