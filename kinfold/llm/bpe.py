@@ -29,6 +29,8 @@ from .pieces import Cut, Known, pieces
 #: Pre-token pattern of the byte-level vocabularies (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT = 48
+#: All code points up to this one are assigned.
+ASSIGNED = "\u0377"
 CACHE = 200_000
 #: Bytes of text whose distinct pieces are looked up together, and pieces whose ids are gathered together.
 SLICE, GATHER = 8 << 20, 1 << 18
@@ -159,17 +161,17 @@ class Bpe:
 
         Pieces with code points unknown here are cut by the library's own pre-tokenizer.
         """
-        if not piece.isascii() and self.unknown(piece):
+        body = piece[1:] if piece[0] == " " else piece
+        if body.isalpha():  # letters are never unknown
+            return [piece]
+        if body[-1:] in (".", ",") and body[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        if not piece.isascii() and max(piece) > ASSIGNED and self.unknown(piece):
             if self.library is None:
                 from tokenizers import Tokenizer
 
                 self.library = Tokenizer.from_file(self.path).pre_tokenizer
             return [piece[a:b] for _, (a, b) in self.library.pre_tokenize_str(piece)]
-        body = piece[1:] if piece[0] == " " else piece
-        if body.isalpha():
-            return [piece]
-        if body[-1:] in (".", ",") and body[:-1].isalpha():
-            return [piece[:-1], piece[-1]]
         return self.find(piece)
 
     def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:

@@ -89,8 +89,7 @@ class Known:
 
     def __call__(self, strings: list[str]) -> list:
         lacking = [s for s in strings if s not in self.held]
-        if len(self.held) + len(lacking) > self.limit:
-            self.held.clear()
-            lacking = strings
+        if len(self.held) + len(lacking) > self.limit:  # what is asked for now stays
+            self.held = {s: self.held[s] for s in strings if s in self.held}
         self.held.update(self.how(lacking))
         return list(map(self.held.__getitem__, strings))

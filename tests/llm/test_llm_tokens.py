@@ -186,3 +186,23 @@ def test_shards_tell_their_documents(tmp_path):
         assert (reader.ids(starts[k], len(docs[k])) == docs[k]).all()
     table = pa.ipc.open_stream(pa.memory_map(f"{tmp_path}/shard-000000.arrows")).read_all()
     assert {n: str(t) for n, t in zip(table.schema.names, table.schema.types)} == {"ids": "fixed_size_list<item: uint16>[1024]", "mask": "fixed_size_list<item: bool>[1024]", "last": "fixed_size_list<item: bool>[1024]"}
+
+
+def test_known_keeps_what_is_asked_for_again():
+    from kinfold.llm.pieces import Known
+
+    asked = []
+    known = Known(lambda words: [asked.append(w) or (w, w.upper()) for w in words], 3)
+    assert known(["a", "b", "c"]) == ["A", "B", "C"]
+    assert known(["c", "d", "e"]) == ["C", "D", "E"]  # past the limit: only what isn't asked for goes
+    assert asked == ["a", "b", "c", "d", "e"] and len(known.held) == 3
+
+
+def test_letters_are_not_searched_for_unknown_code_points(monkeypatch):
+    encoder = bpe.loaded(public_tokenizers.path("byte_bpe_50k.json"))
+    looked = []
+    search = encoder.unknown
+    monkeypatch.setattr(encoder, "unknown", lambda piece: looked.append(piece) or search(piece))
+    assert [encoder.words(p) for p in (" été", "日本", " où.", "naïf-1")] == [[" été"], ["日本"], [" où", "."], ["naïf", "-", "1"]]
+    assert looked == []
+    assert encoder.words(" 日͸") and looked == [" 日͸"]
