@@ -186,3 +186,16 @@ def test_search_stores_its_parts(spark):
 def test_address_search_is_a_stage(spark, name):
     """The query reads the pairs of the address search; before, it ran the search with all its shuffles beside its own."""
     assert "FlatMapGroupsInArrow" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_join_word_shares_before_they_are_wide(spark):
+    """The share of known words is on the candidates that are stored first; before, all features were shuffled for it."""
+    n, held = fx.normalized(spark, SF), {}
+
+    def keep(df, label):
+        held[label] = df
+        return df
+
+    features.make_features(fx.candidates(spark, SF), n.where("source = 'S1'"), n.where("source <> 'S1'"), keep)
+    assert held["known"].columns == ["cand_id", "s1_id", "score", "rank", "cand_name_vocab_frac"]
+    assert held["known"].count() == fx.candidates(spark, SF).count()

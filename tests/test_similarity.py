@@ -51,6 +51,15 @@ def test_kernels_match_the_plain_definitions(pairs):
     assert all(math.isclose(p, q) for p, q in zip(sim.token_set_ratios(a, b), sim.token_set_ratios(b, a)))
 
 
+def test_windows_cut_short_cost_one_scan_at_either_end(monkeypatch):
+    """Only windows within the longer string are rows of their own; before, cut ones were too."""
+    rows, scan = [], sim.Masks._states
+    monkeypatch.setattr(sim.Masks, "_states", lambda self, pair, places: rows.append(len(pair)) or scan(self, pair, places))
+    x, y = "no 12 mg road west end 560001", "12 mg rd near west end park 560001"
+    assert math.isclose(sim.partial_ratios([x], [y])[0], slow_partial(x, y))
+    assert rows == [len(y) - len(x) + 1, 1, 1]
+
+
 def test_known_values():
     assert math.isclose(sim.ratios(["sharma traders"], ["sharma trading"])[0], 100 * 22 / 28)
     assert list(sim.token_set_ratios(["a b", "", "a b c", "fuzzy was a bear"], ["b a x", "a", "a", "fuzzy fuzzy was a bear"])) == [100.0, 0.0, 100.0, 100.0]
