@@ -199,3 +199,9 @@ def test_features_join_word_shares_before_they_are_wide(spark):
     features.make_features(fx.candidates(spark, SF), n.where("source = 'S1'"), n.where("source <> 'S1'"), keep)
     assert held["known"].columns == ["cand_id", "s1_id", "score", "rank", "cand_name_vocab_frac"]
     assert held["known"].count() == fx.candidates(spark, SF).count()
+
+
+def test_labelled_rows_are_a_stage(spark):
+    """Training reads its rows several times; before, each pass joined all features again or kept their shuffles on disk."""
+    plan = catalog._labelled(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Scan parquet" in plan
