@@ -188,6 +188,12 @@ def test_address_search_is_a_stage(spark, name):
     assert "FlatMapGroupsInArrow" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["e04_macro_f05", "e05_entity_scores", "e08_error_summary", "e08_pair_outcomes"])
+def test_scores_are_a_stage(spark, name):
+    """The query reads scored pairs; before, it joined names to candidates, once or twice, with those shuffles beside its own."""
+    assert "name_n" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_features_join_word_shares_before_they_are_wide(spark):
     """The share of known words is on the candidates that are stored first; before, all features were shuffled for it."""
     n, held = fx.normalized(spark, SF), {}
