@@ -194,6 +194,13 @@ def test_scores_are_a_stage(spark, name):
     assert "name_n" not in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["b14_recall_at_k", "b15_recall_by_country", "e05_entity_scores", "e08_error_summary", "e08_pair_outcomes", "e08_quantiles", "j04_labels", "s09_new_pairs"])
+def test_truth_is_a_stage(spark, name):
+    """The query reads true pairs; before, it cut all texts into words for either side of each join with them, with those shuffles beside its own."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and "first_words" not in plan
+
+
 def test_features_join_word_shares_before_they_are_wide(spark):
     """The share of known words is on the candidates that are stored first; before, all features were shuffled for it."""
     n, held = fx.normalized(spark, SF), {}
