@@ -11,11 +11,14 @@ from a sample of SAMPLE distinct vectors; a node of more than BLOCK vectors is s
 vectors (documented bounds; they shape the work, not the result), round by round, until its vectors fit a block or lie
 so close together that they are linked as a whole anyway. Only such close ones, and what ROUNDS rounds leave, are dealt
 into blocks by hash. The dual traversal goes down the tables level by level, by equi-joins on the parent, and drops
-pairs of nodes by their covering radii. Pairs of blocks that are left are the units of work, each block with a tree of
-its own. So a cell with a third of all rows is many units, and no unit has over two blocks. Equal vectors are one class
-with a count. A unit gives counts of links and each vector's least connected vector, never pairs.
-
-Where vectors have no structure, no exact method can rule out many pairs of blocks, and the work is quadratic.
+pairs of nodes by their covering radii. Each block gets a tree of its own, and blocks are dealt into groups of about
+GROUP; the pairs of blocks that are left between two groups are a unit of work, so a block moves once for each group
+that it meets and not once for each block. A cell with a third of all rows is many blocks in all groups. Equal vectors
+are one class with a count. A unit gives counts of links and each vector's least connected vector, never pairs.
+
+Where vectors have no structure, no exact method can rule out many pairs of blocks, and the work is quadratic. Then
+most nodes are single vectors, and PREFIX components with the length of the rest bound a product from above, at a
+third of its cost; the few pairs that the bound leaves are compared in full.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, release
 from .components import components
 from .minhash import roots, whole_units
 
@@ -36,6 +39,10 @@ SAMPLE, MAX_CELLS, BLOCK = 4096, 256, 4096
 #: Most children of a node that is split, how often, and how many blocks of vectors one task moves to them.
 FAN, ROUNDS, SHARE = 64, 8, 16
 LEVELS = 8
+#: Blocks of a group and least number of groups (they shape the work); vectors in a row of a stored tree.
+GROUP, GROUPS, CHUNK = 32, 8, 64
+#: Components that bound products, and the level that a traversal starts at where the first ones have hardly any node of several vectors.
+PREFIX, FINE = 23, 3
 #: Slack of bounds in double precision, and of products in single precision.
 SLACK, SINGLE = 1e-7, 2e-5
 
@@ -51,6 +58,13 @@ def chord(dots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * dots))
 
 
+def bounding(u32: np.ndarray) -> np.ndarray:
+    """PREFIX components of unit vectors and the length of the rest: products of two such rows are not below the vectors' product."""
+    head = u32[:, :PREFIX]
+    rest = np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", head, head, dtype=np.float64)))
+    return np.ascontiguousarray(np.c_[head, rest], np.float32)
+
+
 def net(u32: np.ndarray, members: np.ndarray, radius: float) -> list[np.ndarray]:
     """Groups of members within about radius of their first one; the first member stays a first one."""
     out, rest, least = [], members, 1 - radius * radius / 2
@@ -139,11 +153,11 @@ class Links:
     def walk(self) -> None:
         """Dual traversal, a level at a time."""
         a, b = self.a, self.b
-        left = right = np.zeros(0, np.int64)
-        for level in range(1, LEVELS):
-            if level == 1:
-                left, right = self.dense()
-            else:
+        # wide nodes of few vectors rule out less than they cost
+        start = 1 if 4 * len(a.starts[1]) * len(b.starts[1]) <= len(a.u) * len(b.u) else FINE
+        left, right = self.dense(start)
+        for level in range(start, LEVELS):
+            if level > start:
                 left, right = self.children(left, right, level)
             if not len(left):
                 return
@@ -165,31 +179,57 @@ class Links:
             p, q = p[hit], q[hit]
             self.whole(p, p + 1, q, q + 1)
 
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of the first level's nodes that single-precision bounds leave."""
+    def dense(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a level's nodes that single-precision bounds leave."""
         a, b = self.a, self.b
-        sa, sb, ra, rb = a.starts[1], b.starts[1], a.radii[1], b.radii[1]
-        out = []
-        many_a, many_b = ra > 0, rb > 0
+        ca, cb = a.u32[a.starts[level]], b.u32[b.starts[level]]
+        ra, rb = a.radii[level], b.radii[level]
         far = 1 - (self.most + SLACK) ** 2 / 2 - SINGLE
-        for i in range(0, len(sa), 1024):
-            dots = a.u32[sa[i : i + 1024]] @ b.u32[sb].T
-            # single vectors first, as most are; nodes with several have a wider reach
-            hit = dots >= far
-            rows, columns = np.flatnonzero(many_a[i : i + 1024]), np.flatnonzero(many_b)
-            for some, width in ((rows, None), (None, columns)):
-                part = dots[some] if some is not None else dots[:, width]
-                reach = self.most + SLACK + (ra[i : i + 1024][some][:, None] + rb if some is not None else ra[i : i + 1024][:, None] + rb[width])
-                near = 1 - np.minimum(reach, 2.0) ** 2 / 2 - SINGLE <= part
-                if some is not None:
-                    hit[some] = near
-                else:
-                    hit[:, width] = near
-            x, y = np.nonzero(hit)
-            x += i
-            if self.same:
-                x, y = x[x <= y], y[x <= y]
-            out.append((x, y))
+        # single vectors first, as most are; nodes with several have a wider reach
+        wide_a, wide_b = ra > 0, rb > 0
+        x, y = self.close(np.flatnonzero(~wide_a), np.flatnonzero(~wide_b), level, far)
+        out = [(x, y)]
+        every = np.arange(len(cb))
+        for rows, columns in ((np.flatnonzero(wide_a), every), (np.flatnonzero(~wide_a), np.flatnonzero(wide_b))):
+            if not len(columns):
+                continue
+            for i in range(0, len(rows), 1024):
+                some = rows[i : i + 1024]
+                reach = self.most + SLACK + ra[some][:, None] + rb[columns]
+                x, y = np.nonzero(1 - np.minimum(reach, 2.0) ** 2 / 2 - SINGLE <= ca[some] @ cb[columns].T)
+                out.append((some[x], columns[y]))
+        left, right = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+        if self.same:
+            keep = left <= right
+            left, right = left[keep], right[keep]
+        return left, right
+
+    def close(self, rows: np.ndarray, columns: np.ndarray, level: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a level's nodes whose centres' product may be least or more."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if not len(rows) or not len(columns):
+            return out[0]
+        ua, ub = self.a.u32[self.a.starts[level][rows]], self.b.u32[self.b.starts[level][columns]]
+        bound = ua.shape[1] > 2 * PREFIX
+        if bound:
+            pa, pb = bounding(ua), bounding(ub)
+        else:
+            pa, pb = ua, ub
+        # columns in eights, so that most of the product is passed over eight at a time
+        padded = np.zeros((pb.shape[1], -(-len(pb) // 8) * 8), np.float32)
+        padded[:, : len(pb)] = pb.T
+        held = np.empty((256, padded.shape[1]), np.float32)
+        for i in range(0, len(pa), 256):
+            dots = np.matmul(pa[i : i + 256], padded, out=held[: len(pa) - i])
+            hit = dots >= least
+            eights = np.flatnonzero(hit.view(np.uint64) != 0)
+            if bound and 16 * len(eights) > hit.size // 8:  # the bound rules out too little
+                x, y = np.nonzero(ua[i : i + 256] @ ub.T >= least)
+            else:
+                at, y = np.nonzero(hit.reshape(-1, 8)[eights])
+                x, y = np.divmod(eights[at] * 8 + y, padded.shape[1])
+                x, y = x[y < len(pb)], y[y < len(pb)]
+            out.append((rows[x + i], columns[y]))
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
     def ranges(self, left: np.ndarray, right: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
@@ -288,34 +328,36 @@ def near_vectors(df: DataFrame, *, id_col: str = "vec_id", vector_col: str = "em
             block_of = table.column("unit").to_numpy()
             for s, e in _runs(block_of):
                 part = table.slice(s, e - s).combine_chunks()
-                u = unit_rows(_stack(part.column("raw"), kind))
-                order, marks = Tree.order(u)
+                raw = _stack(part.column("raw"), kind)
+                order, marks = Tree.order(unit_rows(raw))
+                stored = [part.column(c).to_numpy()[order] for c in ("rep", "weight")] + [raw[order], marks]
+                cuts = range(0, e - s, CHUNK)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c).take(pa.array(order)).combine_chunks() for c in ("unit", "rep", "weight", "raw")), pa.array(np.arange(e - s, dtype=np.int32)), pa.array(list(marks), pa.list_(pa.int32()))],
-                    ["block", "rep", "weight", "raw", "ord", "marks"],
+                    [pa.array(np.full(len(cuts), block_of[s])), pa.array(np.arange(len(cuts), dtype=np.int32)), *(pa.array([x[i : i + CHUNK].tobytes() for i in cuts], pa.binary()) for x in stored)],
+                    ["block", "ord", "rep", "weight", "raw", "marks"],
                 )
 
-    trees = materialize(dealt.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(plant, "block long, rep long, weight long, raw binary, ord int, marks array<int>"), "trees")
-    sides = pairs.select(F.explode(F.array(F.struct("unit", F.col("a").alias("block")), F.struct("unit", F.col("b").alias("block")))).alias("s")).select("s.*").distinct()
-    work = trees.select("block", "rep", "weight", "raw", "ord", "marks").join(sides, "block")
+    trees = materialize(dealt.repartition("unit").sortWithinPartitions("unit", "rep").mapInArrow(plant, "block long, ord int, rep binary, weight binary, raw binary, marks binary"), "trees")
+    pairs = materialize(pairs, "pairs")
+    groups = max(GROUPS, -(-pairs.where("a = b").count() // GROUP))
+    group = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
+    dealt_pairs = pairs.select("a", "b", (F.least(group("a"), group("b")) * groups + F.greatest(group("a"), group("b"))).alias("unit"))
+    sides = dealt_pairs.select("unit", F.explode(F.array("a", "b")).alias("block")).distinct()
+    work = trees.join(sides, "block").select("unit", "block", "ord", F.lit(0).cast("long").alias("other"), "rep", "weight", "raw", "marks")
+    none = F.lit(None).cast("binary")
+    work = work.unionByName(dealt_pairs.select("unit", F.col("a").alias("block"), F.lit(-1).alias("ord"), F.col("b").alias("other"), *[none.alias(c) for c in ("rep", "weight", "raw", "marks")]))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_units(batches):
             for s, e in _runs(table.column("unit").to_numpy()):
-                part = table.slice(s, e - s).combine_chunks()
-                blocks = _runs(part.column("block").to_numpy())
-                u, weight = unit_rows(_stack(part.column("raw"), kind)), part.column("weight").to_numpy()
-                marks = np.stack(part.column("marks").to_numpy(zero_copy_only=False))
-                (a, b), (c, d) = blocks[0], blocks[-1]
-                links = Links(Tree.read(u[a:b], marks[a:b]), Tree.read(u[c:d], marks[c:d]), weight[a:b], weight[c:d], len(blocks) == 1, cosine)
-                links.walk()
-                counts, label = links.result()
-                some = np.flatnonzero(counts)
-                rep = part.column("rep").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(counts[some]), pa.array(rep[label[some]])], ["rep", "links", "other"])
-
-    met = materialize(work.repartition("unit").sortWithinPartitions("unit", "block", "ord").mapInArrow(meet, "rep long, links long, other long"), "links")
-    for stage in (*held, trees):
+                rep, counts, other = _meet(table.slice(s, e - s).combine_chunks(), kind, cosine)
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(counts), pa.array(other)], ["rep", "links", "other"])
+            release()
+
+    # more partitions than units, so that few share one
+    shares = min(2 * groups * (groups + 1), 4096)
+    met = materialize(work.repartition(shares, "unit").sortWithinPartitions("unit", "block", "ord").mapInArrow(meet, "rep long, links long, other long"), "links")
+    for stage in (*held, trees, pairs):
         discard(stage)
     counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
     found = components(met.select(F.col("rep").alias("a"), F.col("other").alias("b")))
@@ -338,6 +380,36 @@ def _stack(raw: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(held), kind).reshape(len(held), -1)
 
 
+def _meet(part: pa.Table, kind, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """rep, counts of links and a connected rep of a unit's vectors with links; part has the pairs of blocks (ord -1) and the stored trees' rows, by block and ord."""
+    block, order, other = (part.column(c).to_numpy() for c in ("block", "ord", "other"))
+    pair, stored = np.flatnonzero(order < 0), part.filter(pa.array(order >= 0))
+    read = lambda c, s, e, t: np.frombuffer(b"".join(stored.column(c).slice(s, e - s).to_pylist()), t)
+    trees, reps, weights, first, n = {}, [], {}, {}, 0
+    for s, e in _runs(block[order >= 0]):
+        own = int(block[order >= 0][s])
+        reps.append(read("rep", s, e, np.int64))
+        weights[own], first[own] = read("weight", s, e, np.int64), n
+        m = len(reps[-1])
+        trees[own] = Tree.read(unit_rows(read("raw", s, e, kind).reshape(m, -1)), read("marks", s, e, np.int32).reshape(m, -1))
+        n += m
+    counts, joined = np.zeros(n, np.int64), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for a, b in zip(block[pair].tolist(), other[pair].tolist()):
+        links = Links(trees[a], trees[b], weights[a], weights[b], a == b, cosine)
+        links.walk()
+        more, label = links.result()
+        at = np.arange(first[a], first[a] + len(weights[a]))
+        if a != b:
+            at = np.r_[at, np.arange(first[b], first[b] + len(weights[b]))]
+        counts[at] += more
+        some = np.flatnonzero(label != np.arange(len(label)))
+        joined.append((at[some], at[label[some]]))
+    label = roots(n, *(np.concatenate(x) for x in zip(*joined)))
+    some = np.flatnonzero(counts)
+    rep = np.concatenate(reps)
+    return rep[some], counts[some], rep[label[some]]
+
+
 def _runs(key: np.ndarray) -> list[tuple[int, int]]:
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     return list(zip(start.tolist(), [*start[1:].tolist(), len(key)]))

@@ -219,6 +219,30 @@ def test_tree_levels_are_nested():
         assert (tree.radii[level] <= 2.0 ** (1 - level) + 1e-3).all()
 
 
+def test_unstructured_vectors_leave_few_pairs_to_compare():
+    """Only close pairs are left by the bounds, whatever components hold the length, and none of them is lost."""
+    r = np.random.default_rng(5)
+    for scale in (np.ones(64), np.r_[np.full(40, 1e-3), np.ones(24)], np.r_[np.ones(24), np.zeros(40)]):
+        rows = r.normal(size=(6001, 64)) * scale
+        rows[700:710] = rows[:10] + 0.01 * r.normal(size=(10, 64)) * scale
+        rows[1400:1450] = rows[20] + 0.04 * r.normal(size=(50, 64)) * scale
+        sides = []
+        for part in np.split(rows[r.permutation(6001)], [3100]):
+            u = cover_tree.unit_rows(part)
+            order, marks = cover_tree.Tree.order(u)
+            sides.append(cover_tree.Tree.read(u[order], marks))
+        for a, b in ((sides[0], sides[1]), (sides[0], sides[0])):
+            links = cover_tree.Links(a, b, np.ones(len(a.u), int), np.ones(len(b.u), int), a is b, 0.95)
+            compared, decide = [], links.decide
+            links.decide = lambda x, y, level: compared.append(len(x)) or decide(x, y, level)
+            links.walk()
+            near = a.u @ b.u.T >= 0.95
+            want = near.sum(axis=1) - 1 if a is b else np.r_[near.sum(axis=1), near.sum(axis=0)]
+            assert links.result()[0].tolist() == want.tolist()
+            if scale.min() == 1:
+                assert compared[0] < len(a.u) + len(b.u)
+
+
 def test_clustered_vectors_leave_few_pairs_of_blocks(spark):
     r = np.random.default_rng(8)
     centres = r.normal(size=(24, 32))
