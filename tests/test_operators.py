@@ -133,6 +133,21 @@ def test_model_queries_train_with_production_parameters(spark):
     assert max(t.depth for t in fitted.trees) > 3
 
 
+def test_model_queries_train_on_all_records(spark, monkeypatch):
+    monkeypatch.setattr(model, "train", lambda rows, **more: rows)
+    rows = catalog._trained(spark, SF)
+    assert sorted(map(tuple, rows.select("s1_id", "cand_id").collect())) == sorted(map(tuple, fx.candidates(spark, SF).select("s1_id", "cand_id").collect()))
+    assert {(int(r.s1_id[3:]) % 20 == 0) == r.is_val for r in rows.select("s1_id", "is_val").collect()} == {True}
+
+
+def test_thresholds_come_from_all_rows(spark):
+    """Each of five columns has one row of 40,000 with another value; a sample of rows would miss most of them."""
+    names = [f"x{i}" for i in range(5)]
+    rows = spark.range(40000).select(*[(F.col("id") == 7001 * i + 3).cast("double").alias(c) for i, c in enumerate(names)], F.rand(1).alias("y"), (F.col("id") % 4000 == 0).alias("is_val")).withColumn("label", F.greatest(*names))
+    fitted = model.train(rows, [*names, "y"], rounds=1, least=1, share="all")
+    assert {c for c, gain in model.importances(fitted, [*names, "y"]) if gain > 0} == set(names)
+
+
 def test_tsv_keeps_spaces_at_the_ends_of_cells(spark, tmp_path):
     """A text without words gives a name such as " Pvt Ltd"; Spark's writer trims cells unless told otherwise."""
     rows = [("S1_1", " Pvt Ltd", "No. 5  Rd ", " "), ("S2_2", "", "  ", "en"), ("S3_3", "a\\", "\\b \"c\" 'd'", "#")]
